@@ -2,8 +2,9 @@
 
 A document's lines are split at \\n, lower-cased, and their white space is
 folded; equal lines are one class. A line's set is its character shingles of
-``WIDTH`` characters that begin at a word (at every character of scripts
-written without spaces); a line without word characters is one shingle. Each
+``WIDTH`` characters that begin at a word (in words longer than that, at every
+WIDTH-th character too; at every character of scripts written without spaces),
+so each character is part of a shingle. Each
 shingle is hashed ``BANDS * ROWS`` times in generated code and the minima are
 aggregated per class, so equal lines cost nothing after the map side. Four
 16-bit minima make one 64-bit band, and the bands together are the signature.
@@ -11,9 +12,9 @@ aggregated per class, so equal lines cost nothing after the map side. Four
 Classes with a common band are candidates. Every bucket's hub, the member
 whose buckets are fullest, is compared with all its members by exact Jaccard
 similarity; then, between members that are still in different components, the
-remaining pairs of a bucket whose signatures agree enough (the test is part of
-the join's condition, so no other pair leaves the join) are compared exactly
-too. The distributed union of all links gives the components; a component keeps
+remaining pairs of a bucket are screened by their signatures and compared
+exactly too, each pair in its first common bucket. Both tests are part of the
+join's condition, so only links leave the join. The distributed union of all links gives the components; a component keeps
 its first line by document id, then line number.
 
 Defined results: a null text has no lines; a blank line has no class and is
@@ -36,20 +37,25 @@ from .components import components
 WIDTH, ROWS, BANDS = 12, 4, 10
 SIGMAS = 4.5
 SHARDS = 1 << 24  # bits of the candidates' bitmap: 2 MB, whatever the corpus
-_WORD, _DENSE = r"\p{L}\p{N}", r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-_START = rf"(?:(?<![{_WORD}])|(?<=[{_DENSE}]))(?=([{_WORD}].{{0,{WIDTH - 1}}}))"
+#: Scripts written without spaces: East Asian, Thai, Lao, Myanmar and Khmer.
+_DENSE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uAC00-\uD7AF\uF900-\uFAFF"
+_START = rf"(?=(.{{1,{WIDTH}}}))\S{{1,{WIDTH}}}"
+#: The same but for those scripts; slower, so only for lines that hold one of their characters.
+_START_DENSE = rf"(?=(.{{1,{WIDTH}}}))(?:[{_DENSE}]|[^\s{_DENSE}]{{1,{WIDTH}}})"
 
 
 def lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line_no, norm, id, check) of every line that isn't blank; line_no from 0."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    norm = F.trim(F.regexp_replace(F.lower("line"), r"\s+", " "))
-    return rows.select("doc_id", "line_no", norm.alias("norm")).where("norm != ''").select("*", F.xxhash64("norm").alias("id"), F.xxhash64("norm", F.lit(1)).alias("check"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"\S"))
+    lower = F.lower("line")
+    odd = F.col("line").contains("  ") | F.col("line").rlike(r"^\s|[\t\r\f\x0B]|\s$")
+    norm = F.when(odd, F.trim(F.regexp_replace(lower, r"\s+", " "))).otherwise(lower)
+    return rows.select("doc_id", "line_no", norm.alias("norm")).select("*", F.xxhash64("norm").alias("id"), F.xxhash64("norm", F.lit(1)).alias("check"))
 
 
 def shingles(norm: Column) -> Column:
-    found = F.regexp_extract_all(norm, F.lit(_START), F.lit(1))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(norm))
+    """Never empty: the line isn't blank."""
+    return F.when(norm.rlike(f"[{_DENSE}]"), F.regexp_extract_all(norm, F.lit(_START_DENSE), F.lit(1))).otherwise(F.regexp_extract_all(norm, F.lit(_START), F.lit(1)))
 
 
 def signatures(of: DataFrame) -> DataFrame:
@@ -71,47 +77,55 @@ def _agree(x: str, y: str) -> Column:
     return reduce(lambda p, q: p + q, terms)
 
 
-def _texts(all_lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, norm) of the wanted ids: a bitmap of bounded size drops most other lines before the shuffle."""
+def _first_common(x: str, y: str) -> Column:
+    """The first band in which two signatures agree."""
+    out = F.lit(BANDS)
+    for i in reversed(range(BANDS)):
+        out = F.when(F.col(f"{x}.b{i}") == F.col(f"{y}.b{i}"), i).otherwise(out)
+    return out
+
+
+def _similar(x: Column, y: Column, threshold: float) -> Column:
+    """Exact Jaccard similarity of two sets, at least threshold."""
+    common = F.size(F.array_intersect(x, y))
+    return common >= threshold * (F.size(x) + F.size(y) - common)
+
+
+def _sets(all_lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, s) of the wanted ids, s the set of shingle hashes: a bitmap of bounded size drops most other lines before the shuffle."""
     place = lambda c: F.pmod(c, F.lit(SHARDS)) + 1
     maps = wanted.select(place(F.col("id")).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("shard")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
-    near = all_lines.select("id", "norm", place(F.col("id")).alias("p")).withColumn("shard", F.expr("bitmap_bucket_number(p)")).join(F.broadcast(maps), "shard")
+    near = all_lines.select("id", "norm", place(F.col("id")).alias("p")).withColumn("shard", F.expr("bitmap_bucket_number(p)")).join(F.broadcast(maps), "shard")  # SHARDS bits at most
     bit = F.expr("shiftright(cast(conv(hex(substring(bits, cast(bitmap_bit_position(p) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(p) % 8 as int)) & 1")
-    return near.where(bit == 1).select("id", "norm").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("norm").alias("norm"))
-
-
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least threshold."""
-    t = texts.select("id", F.array_distinct(shingles(F.col("norm"))).alias("s"))
-    both = pairs.join(t.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(t.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    one = near.where(bit == 1).select("id", "norm").dropDuplicates(["id"]).join(wanted, "id")
+    return one.select("id", F.array_distinct(F.transform(shingles(F.col("norm")), lambda x: F.xxhash64(x))).alias("s"))
 
 
 def line_components(all_lines: DataFrame, threshold: float) -> DataFrame:
     """(id, component) of the classes that have a link."""
     sig = materialize(signatures(all_lines), "line-signatures")
     bands = [f"b{i}" for i in range(BANDS)]
-    listed = sig.select("id", F.posexplode(F.array(*bands)).alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket")).repartition(F.col("bucket"))
+    listed = sig.select("id", F.posexplode(F.array(*bands)).alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"), F.col("band").cast("tinyint").alias("band")).repartition(F.col("bucket"))
     counts = listed.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     members = materialize(listed.join(counts, "bucket"), "line-members")
     degree = members.groupBy("id").agg(F.sum("many").alias("degree"))
-    hubs = members.join(degree, "id").groupBy("bucket").agg(F.max("degree").alias("degree"))
-    hubs = members.join(degree, "id").join(hubs, ["bucket", "degree"]).groupBy("bucket").agg(F.min("id").alias("hub"))
-    stars = materialize(members.join(hubs, "bucket").where("id != hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct(), "line-stars")
-    texts = materialize(_texts(all_lines, members.select("id").distinct()), "line-texts")
-    first = materialize(verify(stars, texts, threshold), "line-links")
+    ranked = members.select("id", "bucket").join(degree, "id")
+    most = ranked.groupBy("bucket").agg(F.max("degree").alias("degree"))
+    hubs = ranked.join(most, ["bucket", "degree"]).groupBy("bucket").agg(F.min("id").alias("hub"))
+    stars = materialize(members.join(hubs, "bucket").where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "line-stars")
+    sets = materialize(_sets(all_lines, members.select("id").distinct()), "line-sets")
+    both = stars.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    first = materialize(both.where(_similar(F.col("sa"), F.col("sb"), threshold)).select("a", "b"), "line-links")
 
     groups = components(first).withColumnRenamed("node", "id")
     placed = members.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("bucket")
-    rest = materialize(placed.join(open_, "bucket", "left_semi").join(sig.drop("check"), "id"), "line-rest")
+    rest = materialize(placed.drop("many").join(open_, "bucket", "left_semi").join(sig.drop("check"), "id").join(sets, "id"), "line-rest")
     n = ROWS * BANDS
     least = int(n * threshold - SIGMAS * (n * threshold * (1 - threshold)) ** 0.5)
     x, y = rest.alias("x"), rest.alias("y")
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (_agree("x", "y") >= least))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    second = verify(pairs, texts, threshold)
+    other = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (_first_common("x", "y") == F.col("x.band"))
+    second = x.join(y, other & (_agree("x", "y") >= least) & _similar(F.col("x.s"), F.col("y.s"), threshold)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     return components(groups.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second)).withColumnRenamed("node", "id")
 
 
