@@ -567,10 +567,10 @@ def stream_lww(v: View) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_counts(v: View) -> DataFrame:
-    return feeds.run_to_table(feeds.counted(_event_stream(v)))
+    return feeds.run_to_table(feeds.counted(_event_stream(v))).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_sweep(v: View) -> DataFrame:
-    s = feeds.bounded_files(v.spark, f"{v.dir}/events.parquet", v.raw("events").schema)
+    s = feeds.bounded_files(v.spark, v.dir, v.raw("events").schema, glob="events.parquet")
     return feeds.run_to_table(s.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")))

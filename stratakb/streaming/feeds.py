@@ -19,7 +19,8 @@ def lww(changes: DataFrame, now: Column, *, key: str = "id", stamp: str = "updat
 
 def counted(events: DataFrame, *, ts: str = "ts", window: str = "1 hour", late: str = "2 hours", by: str = "event_type") -> DataFrame:
     """Events by window and type; what is later than the watermark is left out and its state freed."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, window), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), by, "n")
+    stamped = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    return stamped.groupBy(F.window(ts, window), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), by, "n")
 
 
 def status_machine(observations: DataFrame, *, key: str = "entry_id", order: str = "ts") -> DataFrame:
@@ -50,8 +51,9 @@ def sweep_stream(source: DataFrame, apply) -> StreamingQuery:
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", scratch(source.sparkSession, "sweep-checkpoint")).trigger(availableNow=True).start()
 
 
-def bounded_files(spark, folder: str, schema, budget: int = SWEEP_BUDGET) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", budget).parquet(folder)
+def bounded_files(spark, folder: str, schema, budget: int = SWEEP_BUDGET, glob: str = "*") -> DataFrame:
+    """A folder's Parquet files as a stream, budget files at a time."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", budget).option("pathGlobFilter", glob).parquet(folder)
 
 
 def run_to_table(stream: DataFrame, *, mode: str = "complete") -> DataFrame:
