@@ -15,7 +15,8 @@ Grouping: documents with equal words are one class. Classes that share a band
 are candidates. Every bucket's hub, the member whose buckets hold most
 documents, is compared exactly with all members; then, only between members
 that are still in different components, the remaining pairs of a bucket are
-screened by their whole signatures in blocks and compared exactly. So a large
+screened in blocks by their signatures, then by their whole multisets, and
+compared exactly; only links leave a block. So a large
 group costs a comparison for each member and no link between different texts
 is left to chance but for the bands' own recall.
 
@@ -182,8 +183,29 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float, group: int = 64
     return stream_groups(hubs.unionByName(members), ["hub", "salt"], ["member", "id"], _exact(threshold), "a long, b long")
 
 
+def features(text: str | None) -> bytes:
+    """A multiset as sorted 32-bit hashes: the k-th occurrence of a shingle is an element of its own, so common elements are common weight."""
+    h, w = shingles(normal(text))
+    h, w = np.repeat(h, w), np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+    return np.sort(mix(h ^ mix(w.astype(np.uint64) + np.uint64(1))).astype(np.uint32)).tobytes()
+
+
+def _common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs (i, j) of sorted sets; for many pairs as products of incidence matrices."""
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    at_i, at_j = at[: len(i)], at[len(i) :]
+    own = [sets[k] for k in used]
+    values, column = np.unique(np.concatenate(own), return_inverse=True)
+    if len(i) < 64 or len(values) * len(used) > 30_000_000:
+        return np.array([np.isin(own[a], own[b], assume_unique=True).sum() for a, b in zip(at_i, at_j, strict=True)])
+    m = np.zeros((len(used), len(values)), dtype=np.float32)
+    m[np.repeat(np.arange(len(used)), [len(x) for x in own]), column] = 1
+    left, right = np.unique(at_i), np.unique(at_j)
+    return (m[left] @ m[right].T)[np.searchsorted(left, at_i), np.searchsorted(right, at_j)].astype(np.int64)
+
+
 def _screen(threshold: float):
-    """Pairs of a block of a bucket in different components whose signatures agree enough, each from its first common band."""
+    """Pairs of a block of a bucket in different components that are similar by their features, each from its first common band."""
     least = int(np.floor(REGISTERS * threshold - SIGMAS * np.sqrt(REGISTERS * threshold * (1 - threshold))))
 
     def over(pdf: pd.DataFrame) -> pd.DataFrame | None:
@@ -191,9 +213,11 @@ def _screen(threshold: float):
             return None
         x, y, band = pdf["x"].iloc[0], pdf["y"].iloc[0], int(pdf["band"].iloc[0])
         sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint32).reshape(len(pdf), -1)
-        chunk, ids, comp, n = (pdf[c].to_numpy(np.int64) for c in ("chunk", "id", "component", "n"))
+        sets = [np.frombuffer(b, dtype=np.uint32) for b in pdf["features"]]
+        chunk, ids, comp = (pdf[c].to_numpy(np.int64) for c in ("chunk", "id", "component"))
+        n = np.array([len(s) for s in sets])
         left, right = np.flatnonzero(chunk == x), np.flatnonzero(chunk == y)
-        out_a, out_b = [], []
+        first_of, second_of = [], []
         for i in left:
             j = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) >= threshold * np.maximum(n[right], n[i])) & ((ids[right] > ids[i]) if x == y else True)]
             if not len(j):
@@ -201,9 +225,15 @@ def _screen(threshold: float):
             same = sig[j] == sig[i]
             first = same.reshape(len(j), BANDS, ROWS).all(axis=2).argmax(axis=1)
             j = j[(same.sum(axis=1) >= least) & (first == band)]
-            out_a.append(np.maximum(ids[j], ids[i]))
-            out_b.append(np.minimum(ids[j], ids[i]))
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}) if out_a else None
+            first_of.append(np.full(len(j), i))
+            second_of.append(j)
+        if not first_of or not sum(map(len, first_of)):
+            return None
+        i, j = np.concatenate(first_of), np.concatenate(second_of)
+        both = _common(sets, i, j)
+        #: elements that collide in 32 bits change a count by a few; the exact comparison follows
+        ok = both + 2 >= threshold * (n[i] + n[j] - both)
+        return pd.DataFrame({"a": np.maximum(ids[i[ok]], ids[j[ok]]), "b": np.minimum(ids[i[ok]], ids[j[ok]])}) if ok.any() else None
 
     return over
 
@@ -230,9 +260,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     groups = components(first)
     placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = placed.groupBy("band", "value").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("many")).where("c0 != c1").select("band", "value", F.ceil(F.col("many") / BLOCK).cast("long").alias("chunks"))
-    blocks = placed.drop("many").join(open_, ["band", "value"]).join(classes.select("id", "n", "sig"), "id").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks"))
+    blocks = placed.drop("many").join(open_, ["band", "value"]).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks"))
+    feature = F.pandas_udf(lambda texts: texts.map(features), "binary")
+    known = materialize(texts.join(blocks.select("id").distinct(), "id").select("id", feature("text").alias("features")), "features")
+    blocks = blocks.join(classes.select("id", "sig"), "id").join(known, "id")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")
-    blocks = blocks.select("*", other).select(F.col("band").cast("long").alias("band"), "value", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "id", "component", "n", "sig")
+    blocks = blocks.select("*", other).select(F.col("band").cast("long").alias("band"), "value", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "id", "component", "sig", "features")
     rest = stream_groups(blocks, ["band", "value", "x", "y"], ["id"], _screen(threshold), "a long, b long").distinct()
     done = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = materialize(rest.join(done, ["a", "b"], "left_anti"), "rest")

@@ -150,6 +150,6 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thresh
     rows = docs.join(gone.withColumnRenamed("doc_id", "__doc"), F.col(doc_id) == F.col("__doc"), "left").drop("__doc")
     parts = F.split(F.col(text), "\n")
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    blank = F.trim(F.regexp_replace(left, r"\s+", " ")) == ""
     changed = F.col("__gone").isNotNull()
-    return rows.withColumn(text, F.when(changed, left).otherwise(F.col(text))).where(~changed | ~blank).select(*[F.col(f"`{c}`") for c in docs.columns])
+    cut = rows.withColumn(text, F.when(changed, left).otherwise(F.col(text)))
+    return cut.where(~changed | F.col(text).rlike(r"\S")).select(*[F.col(f"`{c}`") for c in docs.columns])
