@@ -276,4 +276,6 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     per_class = classes.select("key", F.col("id").alias("class_id")).join(final.withColumnRenamed("node", "class_id"), "class_id", "left").select("key", "class_id", F.coalesce("component", "class_id").alias("group_id"))
     out = sketched.select("id", "key").join(per_class, "key", "left")
-    return out.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("group_id", "id").alias("group_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("group_id"), F.lit(True)))
+    has = F.col("id").isNotNull()
+    out = out.select(F.col("id").alias("doc_id"), F.when(has, F.coalesce("class_id", "id")).alias("class_id"), F.when(has, F.coalesce("group_id", "id")).alias("group_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("group_id"), F.lit(True)))

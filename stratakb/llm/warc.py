@@ -22,6 +22,8 @@ payload that a third of all pages share costs a row for each task.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,17 +72,28 @@ def records(pages: DataFrame, *, min_bytes: int = 0, date: str = "2024-01-01T00:
     return joined.select("page_id", "key", header.alias("header"))
 
 
+def _names(path: str) -> tuple[str, str]:
+    """The catalog's names of an archive's tables."""
+    tag = hashlib.sha256(path.encode()).hexdigest()[:16]
+    return f"warc_{tag}_records", f"warc_{tag}_payloads"
+
+
 def write_archive(pages: DataFrame, path: str, *, min_bytes: int = 0, **columns) -> None:
-    """Write the record headers, and every payload once."""
-    records(pages, min_bytes=min_bytes, **columns).write.parquet(f"{path}/records")
-    keyed(pages, **columns).select("key", "payload").dropDuplicates(["key"]).write.parquet(f"{path}/payloads")
+    """Write the record headers, and every payload once. Both are bucketed by digest, so reading them together moves no payload."""
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of_records, of_payloads = _names(path)
+    for df, name, part in ((records(pages, min_bytes=min_bytes, **columns), of_records, "records"), (keyed(pages, **columns).select("key", "payload").dropDuplicates(["key"]), of_payloads, "payloads")):
+        df.write.format("parquet").option("compression", "zstd").bucketBy(n, "key").sortBy("key").option("path", f"{path}/{part}").saveAsTable(name)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, key, header, payload, record): payload in full, record the bytes of the WARC record (a revisit's has no block)."""
-    stored = spark.read.parquet(f"{path}/payloads")
+    """(page_id, key, header, payload, record): payload in full, record the bytes of the WARC record (a revisit's has no block). An archive of another session is read by its path."""
+    of_records, of_payloads = _names(path)
+    known = spark.catalog.tableExists(of_payloads) and spark.catalog.tableExists(of_records)
+    heads = spark.table(of_records) if known else spark.read.parquet(f"{path}/records")
+    stored = spark.table(of_payloads) if known else spark.read.parquet(f"{path}/payloads")
     checked = stored.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("key"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("a stored payload doesn't match "), "key")).cast("binary")))
-    rec = spark.read.parquet(f"{path}/records").join(checked, "key")
+    rec = heads.join(checked, "key")
     block = F.when(F.col("header").contains(f"WARC-Type: response{CRLF}"), F.col("payload")).otherwise(F.encode(F.lit(""), "utf-8"))
     end = F.encode(F.lit(CRLF * 2), "utf-8")
     return rec.select("page_id", "key", "header", "payload", F.concat(F.encode("header", "utf-8"), block, end).alias("record"))
