@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stem import stemmed
 from ..functions.text import fts_terms
+from ..runtime import materialize
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -22,11 +23,6 @@ def postings(entries: DataFrame, *, stem: bool = False, key: str = "id", body: s
     return entries.select(F.col(key).alias("id"), F.posexplode(make(F.col(body))).alias("pos", "term"))
 
 
-def lengths(entries: DataFrame, *, stem: bool = False, key: str = "id", body: str = "body") -> DataFrame:
-    make = stemmed if stem else plain_tokens
-    return entries.select(F.col(key).alias("id"), F.coalesce(F.size(make(F.col(body))), F.lit(0)).alias("dl"))
-
-
 def phrases(queries: DataFrame, *, stem: bool = False, task: str = "task") -> DataFrame:
     """(query_id, q, off, term, len): q numbers a query's terms (equal ones count again), off the tokens of a term."""
     make = stemmed if stem else plain_tokens
@@ -39,15 +35,17 @@ def bm25(entries: DataFrame, queries: DataFrame, *, stem: bool = False) -> DataF
 
     Statistics span all entries, whatever is filtered later. Only the tokens of
     a query's terms meet postings, so the shuffle carries matches, not the index.
+    The counts are written once to the shared folder, as three steps read them.
     """
-    dl = lengths(entries, stem=stem)
-    corpus = dl.agg(F.count(F.lit(1)).alias("n_all"), F.avg("dl").alias("avgdl"))
-    hits = postings(entries, stem=stem).join(phrases(queries, stem=stem), "term")
+    make = stemmed if stem else plain_tokens
+    tokens = entries.select("id", F.coalesce(make(F.col("body")), F.array().cast("array<string>")).alias("w"))
+    corpus = tokens.agg(F.count(F.lit(1)).alias("n_all"), F.avg(F.size("w")).alias("avgdl"))
+    hits = tokens.select("id", F.size("w").alias("dl"), F.posexplode("w").alias("pos", "term")).join(phrases(queries, stem=stem), "term")
     #: a phrase occurs where all its tokens stand at their offsets
-    whole = hits.groupBy("query_id", "q", "id", "len", (F.col("pos") - F.col("off")).alias("start")).agg(F.count(F.lit(1)).alias("got")).where("got = len")
-    tf = whole.groupBy("query_id", "q", "id").agg(F.count(F.lit(1)).alias("tf"))
+    whole = hits.groupBy("query_id", "q", "id", "dl", "len", (F.col("pos") - F.col("off")).alias("start")).agg(F.count(F.lit(1)).alias("got")).where("got = len")
+    tf = materialize(whole.groupBy("query_id", "q", "id", "dl").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
     df = tf.groupBy("query_id", "q").agg(F.count(F.lit(1)).alias("df"))
-    rows = tf.join(df, ["query_id", "q"]).join(dl, "id").crossJoin(F.broadcast(corpus))  # one row of statistics
+    rows = tf.join(df, ["query_id", "q"]).crossJoin(F.broadcast(corpus))  # one row of statistics
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     ranked = rows.groupBy("query_id", "id").agg((-F.sum(part)).alias("rank"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import file_stem, token_estimate
 from ..functions.timeutil import decayed
 from ..functions.trust import proximity, score
+from ..runtime import materialize
 from ..schemas import CANDIDATES, ITEM_OVERHEAD, RECALL_FLOOR, SEARCH_OVERHEAD
 from .fts import bm25
 
@@ -47,7 +48,7 @@ def scored(queries: DataFrame, entries: DataFrame, anchors: DataFrame, links: Da
 
     queries: query_id, task, working_set array, budget, now.
     """
-    hits = bm25(entries, queries, stem=stem)
+    hits = materialize(bm25(entries, queries, stem=stem), "hits")
     top = hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "id"))).where(F.col("n") <= CANDIDATES).select("query_id", "id")
     near = queries.select("query_id", F.explode("working_set").alias("file")).join(anchors, "file").select("query_id", F.col("entry_id").alias("id"))
     candidates = top.union(near).distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import guards, hashing, text, timeutil, trust
 from ..operators import anchors, dedup, fts, graph, ledger, merge, recall, sweep, views
+from ..runtime import materialize
 from ..sources import markdown
 from ..sources.languages import detect
 from ..streaming import feeds
@@ -302,6 +303,11 @@ def _rows(v: View) -> DataFrame:
     return recall.scored(v.queries(), v.entries(), v.anchors(), v.links(), v.imports(), v.archived())
 
 
+def _floored(v: View) -> DataFrame:
+    """Written once: packing, cost and envelope read it more than once."""
+    return materialize(recall.floored(_rows(v)), "floored")
+
+
 @query(f"WITH {_SCORED.split('  floored AS')[0].rstrip().rstrip(',')} SELECT query_id, id, round(text, 6) AS text, CAST(near AS DOUBLE) AS near, round(conf, 6) AS conf, round(score, 6) AS score, flagged FROM scored")
 def recall_scored(v: View) -> DataFrame:
     return _rows(v).select("query_id", "id", F.round("text", 6).alias("text"), "near", F.round("conf", 6).alias("conf"), F.round("score", 6).alias("score"), (F.size("flags") > 0).alias("flagged"))
@@ -309,12 +315,12 @@ def recall_scored(v: View) -> DataFrame:
 
 @query(f"WITH {_SCORED.split('  r AS')[0].rstrip().rstrip(',')} SELECT query_id, id, relevant, matched, CAST(cut AS BIGINT) AS cut FROM floored")
 def recall_floor(v: View) -> DataFrame:
-    return recall.floored(_rows(v)).select("query_id", "id", "relevant", "matched", F.col("cut_by_floor").cast("long").alias("cut"))
+    return _floored(v).select("query_id", "id", "relevant", "matched", F.col("cut_by_floor").cast("long").alias("cut"))
 
 
 @query(f"WITH RECURSIVE {_SCORED} SELECT p.query_id, place, p.id, kind, round(conf, 2) AS conf, substr(created_at, 1, 10) AS \"on\" FROM packed p JOIN floored f ON f.query_id = p.query_id AND f.id = p.id")
 def recall_packed(v: View) -> DataFrame:
-    return recall.wire(recall.packed(recall.floored(_rows(v)))).select("query_id", F.col("place").cast("long").alias("place"), "id", "kind", "conf", "on")
+    return recall.wire(recall.packed(_floored(v))).select("query_id", F.col("place").cast("long").alias("place"), "id", "kind", "conf", "on")
 
 
 _COST = f"""{_SCORED}, cost AS (SELECT p.query_id, CAST(sum(cost) AS BIGINT) AS served FROM packed p JOIN floored f ON f.query_id = p.query_id AND f.id = p.id GROUP BY ALL),
@@ -323,21 +329,21 @@ _COST = f"""{_SCORED}, cost AS (SELECT p.query_id, CAST(sum(cost) AS BIGINT) AS
 
 @query(f"WITH RECURSIVE {_COST} SELECT query_id, served, baseline, reads_avoided FROM cost JOIN reads USING (query_id)")
 def recall_cost(v: View) -> DataFrame:
-    return recall.cost(recall.packed(recall.floored(_rows(v))), v.anchors(), v.files())
+    return recall.cost(recall.packed(_floored(v)), v.anchors(), v.files())
 
 
 @query(f"""WITH RECURSIVE {_SCORED}, m AS (SELECT query_id, max(matched) AS matched, max(cut) AS cut FROM floored GROUP BY ALL), g AS (SELECT p.query_id, count(*) AS returned, count(*) FILTER (status = 'stale') AS stale, count(*) FILTER (others IS NOT NULL) AS contradicted FROM packed p JOIN floored f ON f.query_id = p.query_id AND f.id = p.id GROUP BY ALL)
   SELECT q.query_id, coalesce(matched, 0) AS matched, coalesce(returned, 0) AS returned, CASE WHEN coalesce(returned, 0) >= coalesce(matched, 0) THEN NULL WHEN cut > 0 AND matched - returned - cut > 0 THEN 'budget+relevance_floor' WHEN cut > 0 THEN 'relevance_floor' ELSE 'budget' END AS omitted_reason, coalesce(stale, 0) AS stale, coalesce(contradicted, 0) AS contradicted
   FROM v_queries q LEFT JOIN m USING (query_id) LEFT JOIN g USING (query_id)""")
 def envelope_counts(v: View) -> DataFrame:
-    rows = recall.floored(_rows(v))
+    rows = _floored(v)
     return recall.envelope(v.queries(), rows, recall.packed(rows))
 
 
 @query(f"""WITH RECURSIVE {_COST}, log AS (SELECT substr(sha256(array_to_string(['"' || w || '"' for w in {_TERMS.format("task")}], ' OR ')), 1, 16) AS h, coalesce(served, 0) AS served, coalesce(baseline, 0) AS baseline, coalesce(reads_avoided, 0) AS reads_avoided, now FROM v_queries LEFT JOIN cost USING (query_id) LEFT JOIN reads USING (query_id))
   SELECT count(*) AS recalls, count(DISTINCT h) AS distinct_queries, CAST(sum(served) AS BIGINT) AS served, CAST(sum(baseline) AS BIGINT) AS baseline, CAST(sum(baseline) - sum(served) AS BIGINT) AS saved, CAST(sum(reads_avoided) AS BIGINT) AS reads_avoided, min(now) AS since FROM log""")
 def ledger_totals(v: View) -> DataFrame:
-    costs = recall.cost(recall.packed(recall.floored(_rows(v))), v.anchors(), v.files())
+    costs = recall.cost(recall.packed(_floored(v)), v.anchors(), v.files())
     return ledger.totals(ledger.receipts(v.queries(), costs))
 
 
