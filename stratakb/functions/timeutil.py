@@ -28,7 +28,9 @@ def iso(seconds: Column) -> Column:
 
 
 def age_days(created: Column, now: Column) -> Column:
-    return F.greatest(F.lit(0.0), (iso_seconds(now) - iso_seconds(created)) / 86400.0)
+    """Not below 0; null if a stamp can't be read."""
+    days = (iso_seconds(now) - iso_seconds(created)) / 86400.0
+    return F.when(days.isNotNull(), F.greatest(F.lit(0.0), days))
 
 
 def decayed(confidence: Column, created: Column, now: Column, half_life: float = 180.0, floor: float = 0.2) -> Column:
@@ -38,7 +40,8 @@ def decayed(confidence: Column, created: Column, now: Column, half_life: float =
 
 def recency(created: Column, now: Column, days: float = 365.0) -> Column:
     """1 now to 0 after so many days; 0.5 if the stamp can't be read."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - age_days(created, now) / days)), F.lit(0.5))
+    age = age_days(created, now)
+    return F.when(age.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - age / days)))
 
 
 def bumped(now: Column, current: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.guards import import_reject
 from ..functions.trust import imported_confidence
@@ -34,7 +35,7 @@ def export_report(entries: DataFrame) -> DataFrame:
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """(n, rec struct) of (n, value); blank lines are passed over. A malformed line, one without id or one too long raises: nothing is imported."""
-    rec = F.from_json("value", CHANGE.add("_bad", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rec = F.from_json("value", StructType([*CHANGE, StructField("_bad", StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     rows = lines.where(F.trim("value") != "").select("n", "value", rec.alias("rec"))
     fail = lambda why: F.raise_error(F.concat(F.lit(f"line {why}: "), F.col("n").cast("string")))
     checked = F.when(F.octet_length("value") > MAX_LINE, fail("too long")).when(F.col("rec").isNull() | F.col("rec._bad").isNotNull(), fail("not JSON")).when(F.col("rec.id").isNull(), fail("without id"))
