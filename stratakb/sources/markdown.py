@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_ITEM = re.compile(r"(?:[-*+]|\d+[.)])\s+(.*)", re.S)
+_ITEM = re.compile(r"(?:[-*+]|[0-9]+\.) (.*)", re.S)
 
 
 def chunk_markdown(text: str | None) -> list[str]:
