@@ -1,20 +1,20 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 A document's lines are split at \\n, lower-cased, and their white space is
-folded; equal lines are one class. A line's set is its character shingles of
-``WIDTH`` characters that begin at a word (in words longer than that, at every
-WIDTH-th character too; at every character of scripts written without spaces),
-so each character is part of a shingle. Each
-shingle is hashed ``BANDS * ROWS`` times in generated code and the minima are
-aggregated per class, so equal lines cost nothing after the map side. Four
-16-bit minima make one 64-bit band, and the bands together are the signature.
+folded; equal lines are one class. A line's set is its shingles of ``WIDTH``
+characters, one from every character on; a shorter line is its own shingle.
+Classes are moved once, as text, and their shingles are hashed
+``BANDS * ROWS`` times in generated code where they lie, so neither shingles
+nor minima are shuffled. Four 16-bit minima make one 64-bit band, and the
+bands together are the signature.
 
 Classes with a common band are candidates. Every bucket's hub, the member
 whose buckets are fullest, is compared with all its members by exact Jaccard
 similarity; then, between members that are still in different components, the
 remaining pairs of a bucket are screened by their signatures and compared
 exactly too, each pair in its first common bucket. Both tests are part of the
-join's condition, so only links leave the join. The distributed union of all links gives the components; a component keeps
+join's condition, so only links leave the join; sets are made there from the
+text, which is shorter than they are. The distributed union of all links gives the components; a component keeps
 its first line by document id, then line number.
 
 Defined results: a null text has no lines; a blank line has no class and is
@@ -34,14 +34,10 @@ from pyspark.sql import functions as F
 from ..runtime import materialize
 from .components import components
 
-WIDTH, ROWS, BANDS = 12, 4, 10
+WIDTH, ROWS, BANDS = 5, 4, 10
+PIECE = 256  # starts in a piece: substring counts from the left, so that long lines are cut first
 SIGMAS = 4.5
 SHARDS = 1 << 24  # bits of the candidates' bitmap: 2 MB, whatever the corpus
-#: Scripts written without spaces: East Asian, Thai, Lao, Myanmar and Khmer.
-_DENSE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uAC00-\uD7AF\uF900-\uFAFF"
-_START = rf"(?=(.{{1,{WIDTH}}}))\S{{1,{WIDTH}}}"
-#: The same but for those scripts; slower, so only for lines that hold one of their characters.
-_START_DENSE = rf"(?=(.{{1,{WIDTH}}}))(?:[{_DENSE}]|[^\s{_DENSE}]{{1,{WIDTH}}})"
 
 
 def lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -54,13 +50,18 @@ def lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def shingles(norm: Column) -> Column:
-    """Never empty: the line isn't blank."""
-    return F.when(norm.rlike(f"[{_DENSE}]"), F.regexp_extract_all(norm, F.lit(_START_DENSE), F.lit(1))).otherwise(F.regexp_extract_all(norm, F.lit(_START), F.lit(1)))
+    """Hashes of the shingles from every character on, with repeats. Never empty: the line isn't blank."""
+    pieces = F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{1,{PIECE + WIDTH - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    starts = lambda p: F.least(F.lit(PIECE), F.length(p) - (WIDTH - 1))
+    of = lambda p: F.transform(F.sequence(F.lit(1), starts(p)), lambda i: F.xxhash64(F.substring(p, i, F.lit(WIDTH))))
+    long = F.flatten(F.transform(F.filter(pieces, lambda p: starts(p) > 0), of))
+    return F.when(F.length(norm) < WIDTH, F.array(F.xxhash64(norm))).when(F.length(norm) < PIECE + WIDTH, of(norm)).otherwise(long)
 
 
 def signatures(of: DataFrame) -> DataFrame:
     """(id, check, b0 ... ) of each class of lines."""
-    hashed = of.select("id", "check", F.explode(shingles(F.col("norm"))).alias("s")).select("id", "check", F.xxhash64("s").alias("h"))
+    one = of.select("id", "check", "norm").dropDuplicates(["id", "check"])
+    hashed = one.select("id", "check", F.explode(shingles(F.col("norm"))).alias("h"))
     mins = [F.min(F.hash("h", F.lit(k))).alias(f"m{k}") for k in range(ROWS * BANDS)]
     agg = hashed.groupBy("id", "check").agg(*mins)
     quarter = lambda k: F.col(f"m{k}").bitwiseAND(F.lit(0xFFFF)).cast("long")
@@ -86,19 +87,19 @@ def _first_common(x: str, y: str) -> Column:
 
 
 def _similar(x: Column, y: Column, threshold: float) -> Column:
-    """Exact Jaccard similarity of two sets, at least threshold."""
-    common = F.size(F.array_intersect(x, y))
-    return common >= threshold * (F.size(x) + F.size(y) - common)
+    """Exact Jaccard similarity of two lines' sets, at least threshold."""
+    a, b = shingles(x), shingles(y)
+    common, union = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+    return common >= threshold * union
 
 
-def _sets(all_lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, s) of the wanted ids, s the set of shingle hashes: a bitmap of bounded size drops most other lines before the shuffle."""
+def _texts(all_lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, norm) of the wanted ids: a bitmap of bounded size drops most other lines before the shuffle."""
     place = lambda c: F.pmod(c, F.lit(SHARDS)) + 1
     maps = wanted.select(place(F.col("id")).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("shard")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
     near = all_lines.select("id", "norm", place(F.col("id")).alias("p")).withColumn("shard", F.expr("bitmap_bucket_number(p)")).join(F.broadcast(maps), "shard")  # SHARDS bits at most
     bit = F.expr("shiftright(cast(conv(hex(substring(bits, cast(bitmap_bit_position(p) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(p) % 8 as int)) & 1")
-    one = near.where(bit == 1).select("id", "norm").dropDuplicates(["id"]).join(wanted, "id")
-    return one.select("id", F.array_distinct(F.transform(shingles(F.col("norm")), lambda x: F.xxhash64(x))).alias("s"))
+    return near.where(bit == 1).select("id", "norm").dropDuplicates(["id"]).join(wanted, "id")
 
 
 def line_components(all_lines: DataFrame, threshold: float) -> DataFrame:
@@ -113,19 +114,20 @@ def line_components(all_lines: DataFrame, threshold: float) -> DataFrame:
     most = ranked.groupBy("bucket").agg(F.max("degree").alias("degree"))
     hubs = ranked.join(most, ["bucket", "degree"]).groupBy("bucket").agg(F.min("id").alias("hub"))
     stars = materialize(members.join(hubs, "bucket").where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "line-stars")
-    sets = materialize(_sets(all_lines, members.select("id").distinct()), "line-sets")
-    both = stars.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    texts = materialize(_texts(all_lines, members.select("id").distinct()), "line-texts")
+    both = stars.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("sb")), "b")
     first = materialize(both.where(_similar(F.col("sa"), F.col("sb"), threshold)).select("a", "b"), "line-links")
 
     groups = components(first).withColumnRenamed("node", "id")
     placed = members.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = placed.where("many > 2")  # of two, one is the hub: they have been compared
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("bucket")
-    rest = materialize(placed.drop("many").join(open_, "bucket", "left_semi").join(sig.drop("check"), "id").join(sets, "id"), "line-rest")
+    rest = materialize(placed.drop("many").join(open_, "bucket", "left_semi").join(sig.drop("check"), "id").join(texts, "id"), "line-rest")
     n = ROWS * BANDS
     least = int(n * threshold - SIGMAS * (n * threshold * (1 - threshold)) ** 0.5)
     x, y = rest.alias("x"), rest.alias("y")
     other = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (_first_common("x", "y") == F.col("x.band"))
-    second = x.join(y, other & (_agree("x", "y") >= least) & _similar(F.col("x.s"), F.col("y.s"), threshold)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    second = x.join(y, other & (_agree("x", "y") >= least) & _similar(F.col("x.norm"), F.col("y.norm"), threshold)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     return components(groups.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second)).withColumnRenamed("node", "id")
 
 
