@@ -74,7 +74,14 @@ class View:
         return of_nation.unionByName(n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("world."), "n_name").alias("child_fqn"), F.col("r_name").alias("parent_name"), F.lit("extends").alias("rel"), F.lit("nation").alias("file")))
 
     def calls(self) -> DataFrame:
-        li = self.raw("lineitem").where("l_orderkey % 50 = 1").join(self.raw("part"), F.col("l_partkey") == F.col("p_partkey"))
+        """The calls the SQL sees: one order in 50."""
+        return self._calls(self.raw("lineitem").where("l_orderkey % 50 = 1"))
+
+    def all_calls(self) -> DataFrame:
+        return self._calls(self.raw("lineitem"))
+
+    def _calls(self, items: DataFrame) -> DataFrame:
+        li = items.join(self.raw("part"), F.col("l_partkey") == F.col("p_partkey"))
         return li.select(F.concat(F.lit("order."), (F.col("l_orderkey") % 1000).cast("string")).alias("caller_fqn"), F.col("p_name").alias("callee_name"), F.col("p_type").alias("file"))
 
 

@@ -441,10 +441,19 @@ _RES = f"""{with_views("symbols", "inherits", "calls")}, res AS (SELECT name, le
 _LABEL = "CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END"
 
 
+def _resolve_name(v: View, calls: DataFrame) -> DataFrame:
+    names = calls.select(F.col("callee_name").alias("name")).union(v.inherits().select("parent_name")).distinct().union(v.spark.range(1).select(F.lit("nothing")))
+    return graph.resolve_names(names, v.symbols()).select("name", "resolved", "fqn")
+
+
 @query(f"WITH {_RES} SELECT name, {_LABEL} AS resolved, coalesce(first_fqn, name) AS fqn FROM (SELECT DISTINCT callee_name AS name FROM v_calls UNION SELECT parent_name FROM v_inherits UNION SELECT 'nothing') LEFT JOIN res USING (name)")
 def resolve_name(v: View) -> DataFrame:
-    names = v.calls().select(F.col("callee_name").alias("name")).union(v.inherits().select("parent_name")).distinct().union(v.spark.range(1).select(F.lit("nothing")))
-    return graph.resolve_names(names, v.symbols()).select("name", "resolved", "fqn")
+    return _resolve_name(v, v.calls())
+
+
+@query()
+def resolve_name_whole(v: View) -> DataFrame:
+    return _resolve_name(v, v.all_calls())
 
 
 _UP = f"""WITH {_RES}, one AS (SELECT child_fqn AS target, coalesce(first_fqn, parent_name) AS fqn, rel, {_LABEL} AS resolved, 1 AS depth FROM v_inherits LEFT JOIN res ON name = parent_name),
@@ -457,18 +466,36 @@ def lineage_ancestors(v: View) -> DataFrame:
     return graph.ancestors(i.select(F.col("child_fqn").alias("target")).distinct(), i, v.symbols()).select("target", "fqn", "rel", "resolved", "depth")
 
 
+def _lineage_descendants(v: View, calls: DataFrame) -> DataFrame:
+    targets = v.symbols().where("file in ('nation', 'region')").select(F.col("fqn").alias("target")).union(calls.select("caller_fqn")).distinct()
+    return graph.descendants(targets, v.inherits(), calls, v.symbols()).select("target", "fqn", "rel", "resolved", "truncated")
+
+
 @query(f"""WITH {_RES}, t AS (SELECT fqn AS target, name AS leaf FROM v_symbols WHERE file IN ('nation', 'region') UNION SELECT DISTINCT caller_fqn, split_part(caller_fqn, '.', 2) FROM v_calls),
   e AS (SELECT target, child_fqn AS fqn, rel, 'unique' AS resolved, 0 AS via FROM t JOIN v_inherits ON parent_name = leaf UNION ALL SELECT target, coalesce(first_fqn, callee_name), 'calls', {_LABEL}, 1 FROM t JOIN v_calls ON caller_fqn = target LEFT JOIN res ON res.name = callee_name),
   k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY fqn, rel, via) AS k, count(*) OVER (PARTITION BY target) > 40 AS truncated FROM e) SELECT target, fqn, rel, resolved, truncated FROM k WHERE k <= 40""")
 def lineage_descendants(v: View) -> DataFrame:
-    targets = v.symbols().where("file in ('nation', 'region')").select(F.col("fqn").alias("target")).union(v.calls().select("caller_fqn")).distinct()
-    return graph.descendants(targets, v.inherits(), v.calls(), v.symbols()).select("target", "fqn", "rel", "resolved", "truncated")
+    return _lineage_descendants(v, v.calls())
+
+
+@query()
+def lineage_descendants_whole(v: View) -> DataFrame:
+    return _lineage_descendants(v, v.all_calls())
+
+
+def _lineage_callers(v: View, calls: DataFrame) -> DataFrame:
+    return graph.callers(v.symbols().select(F.col("fqn").alias("target")).distinct(), calls).select("target", "fqn", "truncated")
 
 
 @query(f"""WITH {with_views("calls", "symbols")}, t AS (SELECT DISTINCT fqn AS target, regexp_extract(fqn, '([^.:]*)$', 1) AS leaf FROM v_symbols), e AS (SELECT DISTINCT target, caller_fqn AS fqn FROM t JOIN v_calls ON callee_name = leaf),
   k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY fqn) AS k, count(*) OVER (PARTITION BY target) > 40 AS truncated FROM e) SELECT target, fqn, truncated FROM k WHERE k <= 40""")
 def lineage_callers(v: View) -> DataFrame:
-    return graph.callers(v.symbols().select(F.col("fqn").alias("target")).distinct(), v.calls()).select("target", "fqn", "truncated")
+    return _lineage_callers(v, v.calls())
+
+
+@query()
+def lineage_callers_whole(v: View) -> DataFrame:
+    return _lineage_callers(v, v.all_calls())
 
 
 _MAP = f"""WITH {with_views("symbols", "calls", "entries", "anchors", "archived")}, t AS (SELECT DISTINCT file FROM v_symbols UNION SELECT file FROM v_anchors),
@@ -478,10 +505,19 @@ _MAP = f"""WITH {with_views("symbols", "calls", "entries", "anchors", "archived"
   SELECT * FROM s UNION ALL SELECT target, part, key, detail, total FROM c WHERE k <= 100 UNION ALL SELECT target, part, key, detail, total FROM m WHERE k <= 20"""
 
 
+def _map_file(v: View, calls: DataFrame) -> DataFrame:
+    targets = v.symbols().select(F.col("file").alias("target")).union(v.anchors().select("file")).distinct()
+    return graph.map_files(targets, v.symbols(), calls, v.entries(), v.anchors(), v.archived())
+
+
 @query(_MAP)
 def map_file(v: View) -> DataFrame:
-    targets = v.symbols().select(F.col("file").alias("target")).union(v.anchors().select("file")).distinct()
-    return graph.map_files(targets, v.symbols(), v.calls(), v.entries(), v.anchors(), v.archived())
+    return _map_file(v, v.calls())
+
+
+@query()
+def map_file_whole(v: View) -> DataFrame:
+    return _map_file(v, v.all_calls())
 
 
 @query(f"""WITH {with_views("symbols")}, b AS (SELECT fqn AS target, * FROM v_symbols UNION ALL SELECT name AS target, * FROM v_symbols WHERE name <> fqn) SELECT target, fqn, kind, file FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY fqn, id) AS k FROM b) WHERE k <= 20""")
