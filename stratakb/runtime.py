@@ -34,6 +34,21 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Once a query's rows are written, its shuffle files are of no more use.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Write df as Parquet; its shuffle files go with the write, so that disk doesn't fill with those of earlier steps."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -41,7 +56,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    write(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
