@@ -17,31 +17,57 @@ from stratakb.runtime import materialize, table
 TOKENIZER = "word_bpe_49k.json"
 
 
+def _whole_rows(docs: DataFrame) -> DataFrame:
+    """(row struct of all columns, text): an operator's own columns can't clash with those of docs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without a letter or between two languages go."""
-    found = langid.identify(docs, langid.train(docs))
-    return found.where((F.col("lang_pred") != langid.UND) & ~F.col("ambiguous")).select(*docs.columns)
+    """Documents whose language is recognised; those without a letter (null and empty texts too) or between languages go.
+
+    Whole texts are judged, however long; repeated rows each on its own. A null
+    id or lang does not matter here. Columns of any name stay as they are.
+    """
+    found = langid.identify(_whole_rows(docs), langid.train(docs))
+    return found.where((F.col("lang_pred") != langid.UND) & ~F.col("ambiguous")).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier line is like; those with no line left go."""
-    return linededup.dedup(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Documents without lines that an earlier line is like; those with a line, but none left, go.
+
+    n_chars, where there is one, is counted anew. Null, empty and blank texts
+    hold no line; only those with a line that goes can go. Rows without id stay
+    whole; rows of one id keep the same lines. Ties go to the smaller id, then
+    the earlier line. Columns of any name stay as they are.
+    """
+    out = linededup.dedup(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id."""
-    gone = bagminhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates: that with the smallest id.
+
+    Null and wordless texts and rows without id stay; repeated rows of one id
+    stay or go together; whole texts are compared. Columns stay as they are.
+    """
+    gone = bagminhash.near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a benchmark item."""
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    """Documents that hold no passage of a benchmark item.
+
+    Null and wordless texts hold none; whole texts are scanned; repeated rows
+    are judged each on its own. Columns of any name stay as they are.
+    """
+    found = decontam.decontaminate(_whole_rows(docs), table(spark, sf_dir, "benchmark"))
+    return found.where(~F.col("contaminated")).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all pieces in sequences of 4096 tokens."""
+    """The places of all pieces in sequences of 4096 tokens: a null or empty text is its end id; long ones are cut; repeated rows are packed each."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 

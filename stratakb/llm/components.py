@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import drop_path, scratch
+from ..runtime import drop_path, scratch, write
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     path, before, schema = None, None, now.schema
     while True:
         new = scratch(spark, "stars")
-        now.write.parquet(new)
+        write(now, new)
         now = spark.read.schema(schema).parquet(new)
         if path:
             drop_path(spark, path)

@@ -1,157 +1,341 @@
-"""Fuzzy line deduplication by MinHash, in DataFrame operations only.
+"""Fuzzy line deduplication by MinHash over character shingles.
 
 A document's lines are split at \\n, lower-cased, and their white space is
-folded; equal lines are one class. A line's set is its shingles of ``WIDTH``
-characters, one from every character on; a shorter line is its own shingle.
-Classes are moved once, as text, and their shingles are hashed
-``BANDS * ROWS`` times in generated code where they lie, so neither shingles
-nor minima are shuffled. Four 16-bit minima make one 64-bit band, and the
-bands together are the signature.
-
-Classes with a common band are candidates. Every bucket's hub, the member
-whose buckets are fullest, is compared with all its members by exact Jaccard
-similarity; then, between members that are still in different components, the
-remaining pairs of a bucket are screened by their signatures and compared
-exactly too, each pair in its first common bucket. Both tests are part of the
-join's condition, so only links leave the join; sets are made there from the
-text, which is shorter than they are. The distributed union of all links gives the components; a component keeps
-its first line by document id, then line number.
+folded; equal lines are one class, told apart by 128 bits of hash. A line's set
+is all its shingles of ``WIDTH`` characters, one from every character on; a
+shorter line is its own shingle.
+
+Every class gets ``ROWS * BANDS`` minima over its whole set. A band is a 64-bit
+hash of ``ROWS`` of them; two lines of similarity 0.8 have none of the bands in
+common with a chance of (1 - 0.8 ** ROWS) ** BANDS, 4 in 10,000. The lowest bits
+of 64 minima are a sketch: pairs whose sketches differ by ``SIGMAS`` standard
+deviations more than those of similarity 0.8 do are not compared further.
+
+Classes with a common band are candidates. Every bucket's hub, its smallest
+member, is compared with all members by exact Jaccard similarity of the whole
+sets; then, between members still in different components, the remaining pairs
+of a bucket are compared in blocks, by sketch and then exactly; only links leave
+a block. The distributed union of all links gives the components; a component
+keeps its first line by document id, then line number.
+
+Lines are moved once, to make the classes. A bucket that many lines of one
+Arrow batch share sends one of them to the bucket's task, the others are dealt
+over all tasks, so that a bucket with a third of all lines is no single task.
+Blocks of one bucket grow with the square of its members in different
+components; memory and the size of a task do not.
+
+Splitting, normalising, grouping and joins are DataFrame operations. Signatures
+and the exact test are numpy and Python over Arrow batches: see README for the
+figures of the form without Python.
 
 Defined results: a null text has no lines; a blank line has no class and is
 always kept; a null document id is never grouped; repeated rows of one id are
-one document's lines twice (equal lines within a document count once);
-an empty table gives an empty result; extra columns are kept by ``dedup``.
-Class ids are 64-bit hashes of a line (equal lines are told apart by 128 bits).
+one document's lines twice (equal lines within a document count once); of tied
+lines the one with the smaller document id, then line number, is first; a long
+line is one set, whatever its length; an empty table gives an empty result;
+extra columns are kept by ``dedup``, whatever their names. A class is named by
+its first line, ``doc_id:line_no``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
 from .components import components
+from .streams import arrow_groups
 
-WIDTH, ROWS, BANDS = 5, 4, 10
-PIECE = 256  # starts in a piece: substring counts from the left, so that long lines are cut first
+WIDTH, ROWS, BANDS = 5, 5, 20
+SKETCH = 64
 SIGMAS = 4.5
-SHARDS = 1 << 24  # bits of the candidates' bitmap: 2 MB, whatever the corpus
+BLOCK = 256  # members of a bucket compared at once
+HUB_GROUP = 64  # members compared with one copy of their hub's text
+CHARS = 1 << 15  # characters hashed at once: the arrays stay in the processor's cache
+SHARDS = 1 << 24  # bits of a bitmap of ids: 2 MB, whatever the corpus
+_WHITE = " \t\r\f\x0b"
+_PLACE = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
 def lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line_no, norm, id, check) of every line that isn't blank; line_no from 0."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"\S"))
-    lower = F.lower("line")
-    odd = F.col("line").contains("  ") | F.col("line").rlike(r"^\s|[\t\r\f\x0B]|\s$")
+    """(doc_id, line_no, norm, k1, k2) of every line that isn't blank; line_no from 0."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line")).where(F.ltrim("line", F.lit(_WHITE)) != "")
+    lower, line = F.lower("line"), F.col("line")
+    odd = line.startswith(" ") | line.endswith(" ")
+    for white in ("  ", "\t", "\r", "\f", "\x0b"):
+        odd = odd | line.contains(white)
     norm = F.when(odd, F.trim(F.regexp_replace(lower, r"\s+", " "))).otherwise(lower)
-    return rows.select("doc_id", "line_no", norm.alias("norm")).select("*", F.xxhash64("norm").alias("id"), F.xxhash64("norm", F.lit(1)).alias("check"))
-
-
-def shingles(norm: Column) -> Column:
-    """Hashes of the shingles from every character on, with repeats. Never empty: the line isn't blank."""
-    pieces = F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{1,{PIECE + WIDTH - 1}}})).{{1,{PIECE}}}"), F.lit(1))
-    starts = lambda p: F.least(F.lit(PIECE), F.length(p) - (WIDTH - 1))
-    of = lambda p: F.transform(F.sequence(F.lit(1), starts(p)), lambda i: F.xxhash64(F.substring(p, i, F.lit(WIDTH))))
-    long = F.flatten(F.transform(F.filter(pieces, lambda p: starts(p) > 0), of))
-    return F.when(F.length(norm) < WIDTH, F.array(F.xxhash64(norm))).when(F.length(norm) < PIECE + WIDTH, of(norm)).otherwise(long)
-
-
-def signatures(of: DataFrame) -> DataFrame:
-    """(id, check, b0 ... ) of each class of lines."""
-    one = of.select("id", "check", "norm").dropDuplicates(["id", "check"])
-    hashed = one.select("id", "check", F.explode(shingles(F.col("norm"))).alias("h"))
-    mins = [F.min(F.hash("h", F.lit(k))).alias(f"m{k}") for k in range(ROWS * BANDS)]
-    agg = hashed.groupBy("id", "check").agg(*mins)
-    quarter = lambda k: F.col(f"m{k}").bitwiseAND(F.lit(0xFFFF)).cast("long")
-    band = [reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(quarter(i * ROWS + j), 16 * j) for j in range(ROWS)]).alias(f"b{i}") for i in range(BANDS)]
-    return agg.select("id", "check", *band)
-
-
-def _agree(x: str, y: str) -> Column:
-    """How many registers of two signatures agree."""
-    terms = []
-    for i in range(BANDS):
-        d = F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}"))
-        terms += [F.when(F.shiftrightunsigned(d, 16 * j).bitwiseAND(F.lit(0xFFFF)) == 0, 1).otherwise(0) for j in range(ROWS)]
-    return reduce(lambda p, q: p + q, terms)
-
-
-def _first_common(x: str, y: str) -> Column:
-    """The first band in which two signatures agree."""
-    out = F.lit(BANDS)
-    for i in reversed(range(BANDS)):
-        out = F.when(F.col(f"{x}.b{i}") == F.col(f"{y}.b{i}"), i).otherwise(out)
+    #: a second seed for the second half: xxhash64(norm, 1) would be a function of xxhash64(norm)
+    return rows.select("doc_id", "line_no", norm.alias("norm")).select("*", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2"))
+
+
+def shingles(norm: str) -> set[str]:
+    """The set of a line."""
+    return {norm[i : i + WIDTH] for i in range(len(norm) - WIDTH + 1)} or {norm}
+
+
+def similar(a: set[str], b: set[str], threshold: float) -> bool:
+    """Exact Jaccard similarity of at least threshold."""
+    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return both >= threshold * (len(a) + len(b) - both)
+
+
+def _multipliers() -> np.ndarray:
+    return (np.random.default_rng(17).integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+
+
+def minima(norms: list[str]) -> np.ndarray:
+    """ROWS * BANDS minima of hashes of each line's shingles, as rows of uint32."""
+    out, times = np.empty((len(norms), ROWS * BANDS), dtype=np.uint32), _multipliers()
+    at = 0
+    while at < len(norms):
+        end, chars = at, 0
+        while end < len(norms) and (end == at or chars < CHARS):
+            chars += max(WIDTH, len(norms[end]))
+            end += 1
+        padded = [x if len(x) >= WIDTH else x.ljust(WIDTH, "\0") for x in norms[at:end]]
+        points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        last = len(points) - WIDTH + 1
+        h = points[:last] * _PLACE[0]
+        for i in range(1, WIDTH):
+            h += points[i : last + i] * _PLACE[i]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h = np.append((h >> np.uint64(32)).astype(np.uint32), np.uint32(0))
+        n = np.fromiter(map(len, padded), dtype=np.int64, count=len(padded))
+        stops = np.cumsum(n)
+        cuts = np.column_stack([stops - n, stops - WIDTH + 1]).ravel()  # shingles over two lines are between the odd cuts and the even
+        turned = np.empty_like(h)
+        for k in range(ROWS * BANDS):
+            np.multiply(h, times[k], out=turned)
+            out[at:end, k] = np.minimum.reduceat(turned, cuts)[::2]
+        at = end
     return out
 
 
-def _similar(x: Column, y: Column, threshold: float) -> Column:
-    """Exact Jaccard similarity of two lines' sets, at least threshold."""
-    a, b = shingles(x), shingles(y)
-    common, union = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return common >= threshold * union
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def sketches(least: np.ndarray) -> np.ndarray:
+    """The lowest bits of the first SKETCH minima, as int64."""
+    return np.packbits((least[:, :SKETCH] & 1).astype(np.uint8), axis=1, bitorder="little").view("<i8")[:, 0]
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """The buckets of each line, as rows of int64."""
+    parts = least.reshape(len(least), BANDS, ROWS).astype(np.uint64)
+    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(least), BANDS)).copy()
+    for i in range(ROWS):
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, i])
+    return h.view(np.int64)
+
+
+def most_differing(threshold: float) -> int:
+    """How many bits the sketches of two lines of this similarity may differ in."""
+    p = (1 - threshold) / 2
+    return int(SKETCH * p + SIGMAS * (SKETCH * p * (1 - p)) ** 0.5) + 1
+
+
+def classes(of: DataFrame) -> DataFrame:
+    """(cid, k1, k2, first, norm, sketch, bands) of each class of lines; cid is a number of its own once written."""
+
+    @F.arrow_udf("sketch long, bands array<long>")
+    def sign(norms: pa.Array) -> pa.Array:
+        least = minima(norms.to_pylist())
+        found = pa.ListArray.from_arrays(pa.array(np.arange(len(least) + 1, dtype=np.int32) * BANDS), pa.array(bands(least).ravel()))
+        return pa.StructArray.from_arrays([pa.array(sketches(least)), found], ["sketch", "bands"])
+
+    one = of.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("norm").alias("norm"))
+    return one.withColumn("s", sign("norm")).select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "first", "norm", "s.sketch", "s.bands")
+
 
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, cid, peer): peer is 0 for the only line of a bucket in its batch, 1 for the first of several, 2 for the others."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket = batch.column("bands").flatten().to_numpy()
+        cid = np.repeat(batch.column("cid").to_numpy(), BANDS)
+        order = np.argsort(bucket, kind="stable")
+        bucket, cid = bucket[order], cid[order]
+        again = np.concatenate([[False], bucket[1:] == bucket[:-1]])
+        peer = np.where(again, 2, np.concatenate([again[1:], [False]])).astype(np.int8)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(cid), pa.array(peer)], ["bucket", "cid", "peer"])
 
-def _texts(all_lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, norm) of the wanted ids: a bitmap of bounded size drops most other lines before the shuffle."""
-    place = lambda c: F.pmod(c, F.lit(SHARDS)) + 1
-    maps = wanted.select(place(F.col("id")).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("shard")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
-    near = all_lines.select("id", "norm", place(F.col("id")).alias("p")).withColumn("shard", F.expr("bitmap_bucket_number(p)")).join(F.broadcast(maps), "shard")  # SHARDS bits at most
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of buckets, those that aren't alone in theirs."""
+    held, was_same = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(c).to_numpy() for c in ("bucket", "cid", "peer")]
+        if held is not None:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+        bucket, cid, peer = cols
+        same = np.concatenate([[was_same], bucket[1:] == bucket[:-1]])
+        keep = (same | (peer > 0))[:-1] | same[1:]
+        held, was_same = [c[-1:] for c in cols], bool(same[-1])
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[:-1][keep]), pa.array(cid[:-1][keep])], ["bucket", "cid"])
+    if held is not None and (was_same or held[2][0]):
+        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["bucket", "cid"])
+
+
+def _texts(known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cid, norm) of the wanted ids: a bitmap of bounded size drops most other lines before the shuffle."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SHARDS)) + 1
+    maps = wanted.select(place("cid").alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("shard")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
+    near = known.select("cid", "norm", place("cid").alias("p")).withColumn("shard", F.expr("bitmap_bucket_number(p)")).join(F.broadcast(maps), "shard")  # SHARDS bits at most
     bit = F.expr("shiftright(cast(conv(hex(substring(bits, cast(bitmap_bit_position(p) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(p) % 8 as int)) & 1")
-    return near.where(bit == 1).select("id", "norm").dropDuplicates(["id"]).join(wanted, "id")
-
-
-def line_components(all_lines: DataFrame, threshold: float) -> DataFrame:
-    """(id, component) of the classes that have a link."""
-    sig = materialize(signatures(all_lines), "line-signatures")
-    bands = [f"b{i}" for i in range(BANDS)]
-    listed = sig.select("id", F.posexplode(F.array(*bands)).alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"), F.col("band").cast("tinyint").alias("band")).repartition(F.col("bucket"))
-    counts = listed.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    members = materialize(listed.join(counts, "bucket"), "line-members")
-    degree = members.groupBy("id").agg(F.sum("many").alias("degree"))
-    ranked = members.select("id", "bucket").join(degree, "id")
-    most = ranked.groupBy("bucket").agg(F.max("degree").alias("degree"))
-    hubs = ranked.join(most, ["bucket", "degree"]).groupBy("bucket").agg(F.min("id").alias("hub"))
-    stars = materialize(members.join(hubs, "bucket").where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "line-stars")
-    texts = materialize(_texts(all_lines, members.select("id").distinct()), "line-texts")
-    both = stars.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("sb")), "b")
-    first = materialize(both.where(_similar(F.col("sa"), F.col("sb"), threshold)).select("a", "b"), "line-links")
-
-    groups = components(first).withColumnRenamed("node", "id")
-    placed = members.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = placed.where("many > 2")  # of two, one is the hub: they have been compared
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("bucket")
-    rest = materialize(placed.drop("many").join(open_, "bucket", "left_semi").join(sig.drop("check"), "id").join(texts, "id"), "line-rest")
-    n = ROWS * BANDS
-    least = int(n * threshold - SIGMAS * (n * threshold * (1 - threshold)) ** 0.5)
-    x, y = rest.alias("x"), rest.alias("y")
-    other = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (_first_common("x", "y") == F.col("x.band"))
-    second = x.join(y, other & (_agree("x", "y") >= least) & _similar(F.col("x.norm"), F.col("y.norm"), threshold)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    return components(groups.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second)).withColumnRenamed("node", "id")
+    return near.where(bit == 1).select("cid", "norm").join(wanted, "cid")
+
+
+def verify(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar; b's text is sent once for every HUB_GROUP of its partners."""
+    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    texts = materialize(_texts(known, wanted), "line-texts")
+    per = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("per"))
+    dealt = pairs.join(per, "b").select("a", F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.ceil(F.col("per") / HUB_GROUP)).cast("long").alias("salt"))
+    members = dealt.join(texts, dealt["a"] == texts["cid"]).select("hub", "salt", F.lit(True).alias("member"), "cid", "norm")
+    hubs = dealt.select("hub", "salt").distinct().join(texts, F.col("hub") == texts["cid"]).select("hub", "salt", F.lit(False).alias("member"), "cid", "norm")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: set[str] = set()
+        for batch in batches:
+            a, b = [], []
+            for hub, member, cid, norm in zip(*(batch.column(c).to_pylist() for c in ("hub", "member", "cid", "norm")), strict=True):
+                if not member:
+                    of = shingles(norm)
+                elif similar(of, shingles(norm), threshold):
+                    a.append(cid)
+                    b.append(hub)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return hubs.unionByName(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(compare, "a long, b long")
+
+
+def _close(group: dict, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members of the two chunks of a block, and which pairs of them are in different components with sketches alike."""
+    left, right = np.flatnonzero(group["chunk"] == group["x"][0]), np.flatnonzero(group["chunk"] == group["y"][0])
+    sketch, component = group["sketch"].view(np.uint64), group["component"]
+    ok = (component[left][:, None] != component[right][None]) & (np.bitwise_count(sketch[left][:, None] ^ sketch[right][None]) <= most)
+    return left, right, ok
+
+
+def _screen(most: int):
+    """The rows of each block that have a pair to compare."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, cuts in arrow_groups(batches, ["bucket", "x", "y"]):
+            cols = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                left, right, ok = _close({c: v[s:e] for c, v in cols.items()}, most)
+                keep[s + left[ok.any(axis=1)]] = True
+                keep[s + right[ok.any(axis=0)]] = True
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return over
+
+
+def _compare(most: int, threshold: float):
+    """Links of each block, a spanning forest of them."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, cuts in arrow_groups(batches, ["bucket", "x", "y"]):
+            cols = {c: batch.column(c).to_numpy() for c in batch.schema.names if c != "norm"}
+            norms, a, b = batch.column("norm").to_pylist(), [], []
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                left, right, ok = _close({c: v[s:e] for c, v in cols.items()}, most)
+                sets: dict[int, set[str]] = {}
+                root = {c: c for c in cols["component"][s:e].tolist()}
+
+                def top(c: int, root: dict[int, int] = root) -> int:
+                    while root[c] != c:
+                        root[c] = c = root[root[c]]
+                    return c
+
+                for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
+                    i, j = s + int(left[i]), s + int(right[j])
+                    ci, cj = top(int(cols["component"][i])), top(int(cols["component"][j]))
+                    if ci == cj:
+                        continue
+                    for k in (i, j):
+                        if k not in sets:
+                            sets[k] = shingles(norms[k])
+                    if similar(sets[i], sets[j], threshold):
+                        root[max(ci, cj)] = min(ci, cj)
+                        a.append(int(cols["cid"][i]))
+                        b.append(int(cols["cid"][j]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return over
+
+
+def line_components(known: DataFrame, threshold: float) -> DataFrame:
+    """(cid, component) of the classes that have a link; known: what ``classes`` gives, written."""
+    listed = known.select("cid", "bands").mapInArrow(_list, "bucket long, cid long, peer tinyint")
+    spread = F.when(F.col("peer") == 2, F.xxhash64("cid")).otherwise(F.col("bucket"))
+    shared = listed.repartition(spread).sortWithinPartitions("bucket").mapInArrow(_shared, "bucket long, cid long")
+    members = materialize(materialize(shared, "line-shared").join(known.select("cid", "sketch"), "cid"), "line-members")
+    most = most_differing(threshold)
+    hubs = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), F.min("cid").alias("hub"), F.min_by("sketch", "cid").alias("of_hub")).where("many > 1")
+    alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("of_hub"))) <= most
+    stars = materialize(members.join(hubs, "bucket").where((F.col("cid") != F.col("hub")) & alike).select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(), "line-stars")
+    first = materialize(verify(stars, known, threshold), "line-links")
+
+    groups = components(first).withColumnRenamed("node", "cid")
+    placed = members.join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    #: of two members one is the hub: they have been compared
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("many")).where("c0 != c1 and many > 2").select("bucket", F.ceil(F.col("many") / BLOCK).cast("long").alias("chunks"))
+    blocks = placed.join(open_, "bucket").withColumn("chunk", F.pmod(F.xxhash64("cid"), "chunks"))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    blocks = blocks.select("bucket", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "cid", "component", "sketch")
+    ordered = lambda df: df.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "cid")
+    near = materialize(ordered(blocks).mapInArrow(_screen(most), blocks.schema), "line-near")
+    texts = _texts(known, near.select("cid").distinct())
+    second = ordered(near.join(texts, "cid")).mapInArrow(_compare(most, threshold), "a long, b long")
+    #: the first round's stars stand for its links
+    stands = groups.where("cid != component").select(F.col("cid").alias("a"), F.col("component").alias("b"))
+    return components(stands.unionByName(second)).withColumnRenamed("node", "cid")
 
 
 def line_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """(doc_id, line_no, class_id, component_id, kept) of every line that isn't blank."""
     all_lines = lines(docs, doc_id=doc_id, text=text)
-    listed = materialize(all_lines.select("doc_id", "line_no", "id", "check"), "lines")
-    groups = line_components(all_lines.where("doc_id is not null"), threshold)
-    first = listed.where("doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("doc"))
-    of = first.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    owner = of.groupBy("component").agg(F.min("doc").alias("owner"))
-    placed = listed.join(of.join(owner, "component").select("id", "component", "owner"), "id", "left")
-    inside = placed.where("doc_id = owner").groupBy("component").agg(F.min("line_no").alias("line"))
-    out = placed.join(inside, "component", "left")
-    kept = F.col("doc_id").isNull() | ((F.col("doc_id") == F.col("owner")) & (F.col("line_no") == F.col("line")))
-    return out.select("doc_id", "line_no", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"), kept.alias("kept"))
+    known = materialize(classes(all_lines.where("doc_id is not null")), "line-classes")
+    listed = materialize(all_lines.select("doc_id", "line_no", "k1", "k2"), "lines")
+    groups = materialize(line_components(known, threshold), "line-components")
+    #: only classes with a link need the first line of their component looked up
+    linked = groups.join(known.select("cid", "first"), "cid")
+    owners = linked.groupBy("component").agg(F.min("first").alias("owner"))
+    moved = linked.join(owners, "component").select("cid", "owner")
+    placed = known.select("cid", "k1", "k2", "first").join(moved, "cid", "left").select("k1", "k2", "first", F.coalesce("owner", "first").alias("owner"))
+    out = listed.join(placed, ["k1", "k2"], "left")
+    name = lambda c: F.concat(F.col(f"{c}.doc_id").cast("string"), F.lit(":"), F.col(f"{c}.line_no").cast("string"))
+    none = F.col("doc_id").isNull()
+    kept = none | ((F.col("doc_id") == F.col("owner.doc_id")) & (F.col("line_no") == F.col("owner.line_no")))
+    return out.select("doc_id", "line_no", F.when(~none, name("first")).alias("class_id"), F.when(~none, name("owner")).alias("component_id"), kept.alias("kept"))
 
 
 def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """docs without the lines that are not kept; a document all of whose lines go, goes."""
-    gone = line_classes(docs, doc_id=doc_id, text=text, threshold=threshold).where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
-    rows = docs.join(gone.withColumnRenamed("doc_id", "__doc"), F.col(doc_id) == F.col("__doc"), "left").drop("__doc")
-    parts = F.split(F.col(text), "\n")
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    changed = F.col("__gone").isNotNull()
-    cut = rows.withColumn(text, F.when(changed, left).otherwise(F.col(text)))
-    return cut.where(~changed | F.col(text).rlike(r"\S")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = line_classes(docs, doc_id=doc_id, text=text, threshold=threshold).where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("lines"))
+    rows = docs.alias("d").join(gone.alias("g"), F.col(f"d.{doc_id}") == F.col("g.doc_id"), "left")
+    whole, changed = F.col(f"d.{text}"), F.col("g.lines").isNotNull()
+    left = F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains("g.lines", i)), "\n")
+    cut = F.when(changed, left).otherwise(whole)
+    return rows.where(~changed | cut.rlike(r"\S")).select(*[(cut if c == text else F.col(f"d.`{c}`")).alias(c) for c in docs.columns])

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +43,30 @@ def stream_groups(df: DataFrame, keys: list[str], order: list[str], f: Callable[
             yield out
 
     return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInPandas(over, schema)
+
+
+def arrow_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """(batch, cuts): whole groups of rows with equal keys, group k being the rows from cuts[k] to cuts[k + 1].
+
+    The rows come in the order of the keys, which are non-null longs. A batch
+    and a group are held in memory, so the caller bounds the group.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        k = np.column_stack([batch.column(c).to_numpy() for c in keys])
+        starts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        first = np.array([held[0].column(c)[0].as_py() for c in keys])
+        if not len(starts) and (k[0] == first).all():
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks()
+        whole = whole.to_batches()[0]
+        before = whole.num_rows - batch.num_rows
+        cuts = [0, *([before] if before and (k[0] != first).any() else []), *(before + starts).tolist()]
+        yield whole.slice(0, cuts[-1]), cuts
+        held = [whole.slice(cuts[-1])]
+    if held:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield whole, [0, whole.num_rows]
