@@ -14,9 +14,10 @@ deviations more than those of similarity 0.8 do are not compared further.
 Classes with a common band are candidates. Every bucket's hub, its smallest
 member, is compared with all members by exact Jaccard similarity of the whole
 sets; then, between members still in different components, the remaining pairs
-of a bucket are compared in blocks, by sketch and then exactly; only links leave
-a block. The distributed union of all links gives the components; a component
-keeps its first line by document id, then line number.
+of a bucket are compared in blocks, by sketch and then exactly, each pair in its
+first common bucket; only links leave a block. The distributed union of all
+links gives the components; a component keeps its first line by document id,
+then line number.
 
 Lines are moved once, to make the classes. A bucket that many lines of one
 Arrow batch share sends one of them to the bucket's task, the others are dealt
@@ -225,25 +226,32 @@ def verify(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     return hubs.unionByName(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(compare, "a long, b long")
 
 
-def _close(group: dict, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Members of the two chunks of a block, and which pairs of them are in different components with sketches alike."""
-    left, right = np.flatnonzero(group["chunk"] == group["x"][0]), np.flatnonzero(group["chunk"] == group["y"][0])
-    sketch, component = group["sketch"].view(np.uint64), group["component"]
-    ok = (component[left][:, None] != component[right][None]) & (np.bitwise_count(sketch[left][:, None] ^ sketch[right][None]) <= most)
-    return left, right, ok
+def _to_compare(cols: dict, s: int, e: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (i, j) of the pairs of the block in rows s to e whose turn is here: in different components, sketches alike, this bucket their first in common."""
+    left, right = (s + np.flatnonzero(cols["chunk"][s:e] == cols[side][s]) for side in ("x", "y"))
+    sketch, lows = cols["sketch"].view(np.uint64), cols["lows"]
+    ok = (cols["component"][left][:, None] != cols["component"][right][None]) & (np.bitwise_count(sketch[left][:, None] ^ sketch[right][None]) <= most)
+    i, j = np.nonzero(ok)
+    i, j = left[i], right[j]
+    here = int(np.argmax(lows[s] == cols["bucket"][s].astype(np.int32)))
+    turn = ((lows[i] == lows[j]).argmax(axis=1) == here) & (cols["cid"][i] > cols["cid"][j]) if cols["x"][s] == cols["y"][s] else (lows[i] == lows[j]).argmax(axis=1) == here
+    return i[turn], j[turn]
+
+
+def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    cols = {c: batch.column(c).to_numpy() for c in ("bucket", "x", "y", "chunk", "cid", "component", "sketch")}
+    return cols | {"lows": batch.column("lows").flatten().to_numpy().reshape(-1, BANDS)}
 
 
 def _screen(most: int):
-    """The rows of each block that have a pair to compare."""
+    """The rows of each block that have a pair to compare there."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, cuts in arrow_groups(batches, ["bucket", "x", "y"]):
-            cols = {c: batch.column(c).to_numpy() for c in batch.schema.names}
-            keep = np.zeros(batch.num_rows, dtype=bool)
+            cols, keep = _columns(batch), np.zeros(batch.num_rows, dtype=bool)
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                left, right, ok = _close({c: v[s:e] for c, v in cols.items()}, most)
-                keep[s + left[ok.any(axis=1)]] = True
-                keep[s + right[ok.any(axis=0)]] = True
+                for rows in _to_compare(cols, s, e, most):
+                    keep[rows] = True
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
@@ -255,10 +263,8 @@ def _compare(most: int, threshold: float):
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, cuts in arrow_groups(batches, ["bucket", "x", "y"]):
-            cols = {c: batch.column(c).to_numpy() for c in batch.schema.names if c != "norm"}
-            norms, a, b = batch.column("norm").to_pylist(), [], []
+            cols, norms, of_a, of_b = _columns(batch), batch.column("norm"), [], []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                left, right, ok = _close({c: v[s:e] for c, v in cols.items()}, most)
                 sets: dict[int, set[str]] = {}
                 root = {c: c for c in cols["component"][s:e].tolist()}
 
@@ -267,20 +273,19 @@ def _compare(most: int, threshold: float):
                         root[c] = c = root[root[c]]
                     return c
 
-                for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
-                    i, j = s + int(left[i]), s + int(right[j])
-                    ci, cj = top(int(cols["component"][i])), top(int(cols["component"][j]))
-                    if ci == cj:
+                for i, j in zip(*(x.tolist() for x in _to_compare(cols, s, e, most)), strict=True):
+                    a, b = top(int(cols["component"][i])), top(int(cols["component"][j]))
+                    if a == b:
                         continue
                     for k in (i, j):
                         if k not in sets:
-                            sets[k] = shingles(norms[k])
+                            sets[k] = shingles(norms[k].as_py())
                     if similar(sets[i], sets[j], threshold):
-                        root[max(ci, cj)] = min(ci, cj)
-                        a.append(int(cols["cid"][i]))
-                        b.append(int(cols["cid"][j]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                        root[max(a, b)] = min(a, b)
+                        of_a.append(int(cols["cid"][i]))
+                        of_b.append(int(cols["cid"][j]))
+            if of_a:
+                yield pa.RecordBatch.from_arrays([pa.array(of_a, pa.int64()), pa.array(of_b, pa.int64())], ["a", "b"])
 
     return over
 
@@ -302,12 +307,12 @@ def line_components(known: DataFrame, threshold: float) -> DataFrame:
     #: of two members one is the hub: they have been compared
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("many")).where("c0 != c1 and many > 2").select("bucket", F.ceil(F.col("many") / BLOCK).cast("long").alias("chunks"))
     blocks = placed.join(open_, "bucket").withColumn("chunk", F.pmod(F.xxhash64("cid"), "chunks"))
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    blocks = blocks.select("bucket", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "cid", "component", "sketch")
-    ordered = lambda df: df.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "cid")
+    lows = F.transform("bands", lambda v: F.shiftright(F.shiftleft(v, 32), 32).cast("int"))
+    blocks = blocks.join(known.select("cid", lows.alias("lows")), "cid").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    blocks = blocks.select("bucket", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "cid", "component", "sketch", "lows")
+    ordered = lambda df: df.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     near = materialize(ordered(blocks).mapInArrow(_screen(most), blocks.schema), "line-near")
-    texts = _texts(known, near.select("cid").distinct())
-    second = ordered(near.join(texts, "cid")).mapInArrow(_compare(most, threshold), "a long, b long")
+    second = ordered(near.join(_texts(known, near.select("cid").distinct()), "cid")).mapInArrow(_compare(most, threshold), "a long, b long")
     #: the first round's stars stand for its links
     stands = groups.where("cid != component").select(F.col("cid").alias("a"), F.col("component").alias("b"))
     return components(stands.unionByName(second)).withColumnRenamed("node", "cid")
