@@ -72,12 +72,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def worker_cache(key, build):
-    """build() once per Python worker process for each key.
+    """build() once per Python worker process for each key (kind, name); only the latest of a kind is kept.
 
     Kept in a module of its own because functions pickled by value get fresh
     globals with every task.
     """
     store = sys.modules.setdefault("_stratakb_worker_cache", types.ModuleType("_stratakb_worker_cache")).__dict__
-    if key not in store:
-        store[key] = build()
-    return store[key]
+    kind, name = key
+    if store.get(kind, (None,))[0] != name:
+        store.pop(kind, None)  # before the next is built
+        store[kind] = (name, build())
+    return store[kind][1]
