@@ -8,7 +8,8 @@ lengths that are still available, and such exact combinations are consumed as
 often as their counts allow; what has no exact complement is placed best-fit,
 longest first. The plan says which ranks of each length go to which sequences
 and offsets, so the pieces themselves never meet on the driver: they are ranked
-within (length, salt) groups of bounded size and looked up in the plan.
+within (length, salt) groups of bounded size and looked up in the plan; the salt
+is of the row, so that not even one document's repeated rows make a large group.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 packed like any other; a length's rank order is by document id, piece, start,
@@ -35,7 +36,7 @@ CAPACITY, END = 4096, 1
 CACHE_WORDS = 400_000
 #: White space for Python but not for the tokenizer, and characters whose lower case could differ between the two.
 _ODD = re.compile("[\x1c-\x1f]|[^\x00-ɏ]")
-_SPECIAL = "<|"
+_SPECIAL = "<|"  # what the tokenizer's own tokens begin with: texts that hold it are encoded whole
 
 
 class Encoder:
@@ -48,7 +49,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -201,14 +201,15 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
     fixed rows. ``group`` bounds the rows of a length that one task ranks.
     """
     spark = docs.sparkSession
-    pieces = materialize(tokenize(docs, tokenizer, doc_id=doc_id, text=text, capacity=capacity, end=end), "pieces")
+    pieces = tokenize(docs, tokenizer, doc_id=doc_id, text=text, capacity=capacity, end=end).withColumn("__row", F.monotonically_increasing_id())
+    pieces = materialize(pieces, "pieces")  # a row's number is fixed once written
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
     shared = spark.sparkContext.broadcast(places(plan(counts, capacity)))
     salts = [1] * (capacity + 1)
     for length, c in counts.items():
         salts[length] = -(-c // group)
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(F.array(*[F.lit(s) for s in salts]), F.col("length").cast("int") + 1)) if max(salts) > 1 else F.lit(0).cast("long"))
-    w = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.element_at(F.array(*[F.lit(s) for s in salts]), F.col("length").cast("int") + 1)) if max(salts) > 1 else F.lit(0).cast("long"))
+    w = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "start", "ids_crc32", "__row")
     ranked = salted.withColumn("__rank", F.row_number().over(w) - 1)
     if max(salts) > 1:
         per = salted.groupBy("length", "__salt").count()
