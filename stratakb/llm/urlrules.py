@@ -3,7 +3,8 @@
 A URL becomes a set of tokens (host, its last two labels, subdomain, top-level
 domain, path segments with digits as ``#``, extension, query keys, fragment).
 Spark's FP-growth mines token combinations together with the label of the
-labelled URLs; rules (tokens -> label) are kept by confidence and support. Each
+labelled URLs, once for each form of the host, as these imply one another; rules
+(tokens -> label) are kept by confidence and support. Each
 rule is listed in an inverted index under its rarest token; a URL's tokens look
 up candidate rules there, which must be wholly contained. The rule with the
 highest confidence, then support, then the longest and alphabetically first,
@@ -23,6 +24,8 @@ rules are broadcast only if they are at most ``broadcast_rules`` rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK, ALLOW = "block", "allow"
 OUT = ("host", "path", "rule", "verdict", "method_confidence")
+#: A host implies its site, and a site its top-level domain: itemsets hold one of them at most.
+LEVELS = ("host=", "site=", "top=", "sub=")
 
 
 def host(url: Column) -> Column:
@@ -57,7 +62,7 @@ def tokens(url: Column) -> Column:
     h, p = host(url), path(url)
     labels = F.split(h, r"\.")
     tag = lambda name, arr: F.transform(arr, lambda x: F.concat(F.lit(f"{name}="), x))
-    segments = F.filter(F.split(F.regexp_replace(F.regexp_replace(p, r"\.[A-Za-z]+$", ""), "[0-9]+", "#"), "/"), lambda x: (x != "") & (F.length(x) <= 40))
+    segments = F.filter(F.split(F.regexp_replace(F.regexp_replace(p, r"\.[A-Za-z]+$", ""), "[0-9]+", "#"), "/"), lambda x: x != "")
     keys = F.filter(F.transform(F.split(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), "&"), lambda x: F.regexp_extract(x, "^([^=]*)", 1)), lambda x: x != "")
     found = F.concat(
         F.when(h == "", F.array()).otherwise(F.array(F.concat(F.lit("host="), h), F.concat(F.lit("site="), F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), F.least(F.lit(2), F.size(labels))), ".")), F.concat(F.lit("top="), F.element_at(labels, -1)), F.concat(F.lit("sub="), labels[0]))),
@@ -69,12 +74,22 @@ def tokens(url: Column) -> Column:
     return F.when(url.isNull() | (F.size(found) == 0), F.array(F.lit("none"))).otherwise(F.array_sort(F.array_distinct(found)))
 
 
+def _at_level(items: Column, level: str) -> Column:
+    """The items with the host in one form only."""
+    others = [x for x in LEVELS if x != level]
+    return F.filter(items, lambda x: ~reduce(lambda p, q: p | q, [x.startswith(o) for o in others]))
+
+
 def mine(labelled: DataFrame, *, url: str = "url", bad: str = "bad", min_support: float = 0.002, min_confidence: float = 0.6) -> DataFrame:
     """(antecedent array, label, confidence, support) of the rules tokens -> bad or good of URLs with a boolean label."""
     good_bad = F.when(F.col(bad), "=bad").otherwise("=good")
     baskets = labelled.where(F.col(bad).isNotNull()).select(F.concat(tokens(F.col(url)), F.array(good_bad)).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    return model.associationRules.where(F.col("consequent")[0].isin("=bad", "=good") & (F.col("lift") > 1)).select("antecedent", F.col("consequent")[0].alias("label"), "confidence", "support")
+    rules = None
+    for level in LEVELS:
+        model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets.select(_at_level(F.col("items"), level).alias("items")))
+        found = model.associationRules.where(F.col("consequent")[0].isin("=bad", "=good") & (F.col("lift") > 1)).select("antecedent", F.col("consequent")[0].alias("label"), "confidence", "support")
+        rules = found if rules is None else rules.unionByName(found)
+    return rules.dropDuplicates(["antecedent", "label"])
 
 
 def match(sets: DataFrame, rules: DataFrame, *, broadcast_rules: int = 20_000) -> DataFrame:
