@@ -5,9 +5,10 @@ and each pair of tiles is one task. A unit vector x is quantised to s*q with q
 in -127..127, e = x - s*q; the int8 product s_x*s_y*(q_x.q_y) then differs from
 the cosine by at most |s_x*q_x|*|e_y| + |e_x|, so pairs whose product plus bound
 stays below the threshold need nothing more; the others, and only those, are
-recomputed in double precision. A task returns a row for each vector with a
-link (how many, and the smallest class it reaches within the task), never the
-pairs, so a dense group costs a spanning forest. Components are the distributed
+recomputed in double precision. A task folds each block of links into its counts
+and its forest before the next, so it never holds the links of two dense tiles,
+and returns a row for each vector with a link (how many, and the smallest class
+it reaches within the task). Components are the distributed
 union of these forests.
 
 Defined results: null vectors, those with a null or non-finite component, of
@@ -23,6 +24,8 @@ compared once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,6 +36,7 @@ from .components import components
 
 TILE = 8192
 BLOCK = 1024  # rows of a tile product held at once
+PAIRS = 1 << 20  # pairs of a block held at once
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -64,45 +68,50 @@ def product(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return sum((q[:, i : i + 1000] @ r[:, i : i + 1000].T).astype(np.float64) for i in range(0, q.shape[1], 1000))
 
 
-def links(x: np.ndarray, y: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Row numbers of the pairs with cosine >= threshold, and how many were recomputed; y None: pairs within x, once each."""
+def links(x: np.ndarray, y: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Blocks of row numbers of the pairs with cosine >= threshold, and how many pairs were recomputed for it; y None: pairs within x, once each.
+
+    A block holds at most PAIRS links, so memory doesn't grow with their number.
+    """
     a, same = Quantised(x), y is None
     y = x if same else y
     b = a if same else Quantised(y)
-    r, out_i, out_j, again = b.rows(), [], [], 0
+    r = b.rows()
     for at in range(0, len(x), BLOCK):
         rows = slice(at, at + BLOCK)
         g = product(a.q[rows].astype(np.float32), r)
         g *= b.scale.astype(g.dtype)
         #: slack for the rounding of the float32 scaling and of the sums behind the bounds
         least = (threshold - a.lost[rows] - a.norm[rows] * b.lost.max() - 1e-5) / a.scale[rows]
-        i, j = np.nonzero(g >= least[:, None].astype(g.dtype))
-        i += at
+        near = g >= least[:, None].astype(g.dtype)
         if same:
-            keep = i < j
-            i, j = i[keep], j[keep]
-        again += len(i)
-        for k in range(0, len(i), 100_000):
-            p, q = i[k : k + 100_000], j[k : k + 100_000]
-            ok = np.einsum("ij,ij->i", x[p], y[q]) >= threshold
-            out_i.append(p[ok])
-            out_j.append(q[ok])
-    cat = lambda z: np.concatenate(z) if z else np.zeros(0, dtype=np.int64)
-    return cat(out_i), cat(out_j), again
-
-
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest number reachable from each of n nodes over the links."""
-    root = np.arange(n)
-    while True:
-        least = root.copy()
-        np.minimum.at(least, i, root[j])
-        np.minimum.at(least, j, root[i])
-        np.minimum.at(least, root, least.copy())  # the roots follow their nodes
-        least = least[least]
-        if (least == root).all():
-            return root
-        root = least
+            near &= np.arange(near.shape[1])[None] > at + np.arange(len(near))[:, None]
+        del g
+        step = max(1, PAIRS // near.shape[1])
+        for top in range(0, len(near), step):
+            i, j = np.nonzero(near[top : top + step])
+            i += at + top
+            if len(i):
+                ok = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65_536]], y[j[k : k + 65_536]]) >= threshold for k in range(0, len(i), 65_536)])
+                yield i[ok], j[ok], len(i)
+
+
+class Forest:
+    """The smallest number reachable from each of n nodes over the links so far."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            a, b = self.root[i], self.root[j]
+            open_ = a != b
+            if not open_.any():
+                return
+            i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+            while (flat := self.root[self.root]).tobytes() != self.root.tobytes():
+                self.root = flat
 
 
 def _tile_pair(threshold: float):
@@ -110,18 +119,16 @@ def _tile_pair(threshold: float):
         pdf = pdf.sort_values("rep", kind="stable", ignore_index=True)
         x = unit(np.stack(pdf["embedding"].to_numpy()))
         tile, ids, many = pdf["tile"].to_numpy(), pdf["rep"].to_numpy(np.int64), pdf["many"].to_numpy(np.int64)
-        if pdf["lo"].iloc[0] == pdf["hi"].iloc[0]:
-            i, j, _ = links(x, None, threshold)
-        else:
-            left, right = np.flatnonzero(tile == pdf["lo"].iloc[0]), np.flatnonzero(tile == pdf["hi"].iloc[0])
-            if not len(left) or not len(right):
-                i = j = np.zeros(0, dtype=np.int64)
-            else:
-                i, j, _ = links(x[left], x[right], threshold)
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        left, right = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
+        n, forest = np.zeros(len(ids), dtype=np.int64), Forest(len(ids))
+        if len(left) and len(right):
+            for i, j, _ in links(x[left], None if lo == hi else x[right], threshold):
                 i, j = left[i], right[j]
-        n = np.bincount(i, many[j], len(ids)) + np.bincount(j, many[i], len(ids))
-        root, has = forest(len(ids), i, j), np.flatnonzero(n)
-        return pd.DataFrame({"rep": ids[has], "n": n[has].astype(np.int64), "root": ids[root[has]]})
+                n += np.bincount(i, many[j], len(ids)).astype(np.int64) + np.bincount(j, many[i], len(ids)).astype(np.int64)
+                forest.add(i, j)
+        has = np.flatnonzero(n)
+        return pd.DataFrame({"rep": ids[has], "n": n[has], "root": ids[forest.root[has]]})
 
     return over
 
