@@ -14,8 +14,9 @@ unless they clash with an output column, which then wins. An empty benchmark
 leaves everything clean.
 
 Scale: no shuffle. The windows are broadcast only up to ``max_chars``
-characters; a larger benchmark is split into blocks of at most that size, and
-the rows pass through one scan per block, so no block outgrows a worker.
+characters, some 300 MB of automaton nodes; a larger benchmark is split into
+blocks of at most that size, and the rows pass through one scan per block, so no
+block outgrows a worker.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import worker_cache
+from ..runtime import materialize, worker_cache
 
 #: A word in the original text: the same with A-Z.
 WORD = "[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
@@ -117,28 +118,30 @@ def _blocks(benchmark: DataFrame, n: int, text: str, item: str, max_chars: int)
     return [sorted(b.items()) for b in blocks]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", max_chars: int = 64_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", max_chars: int = 4_000_000) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, contaminated, item_ids and spans (start, end characters).
 
     The benchmark is small by nature; the driver reads it row by row and holds
-    its windows, in blocks of max_chars characters for the workers.
+    its windows, in blocks of max_chars characters. A worker holds one block's
+    automaton at a time: between blocks the rows are written.
     """
     spark = docs.sparkSession
     blocks = _blocks(benchmark, n, item_text, item, max_chars)
-    df = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in OUT], *[F.col(text).alias("__t")] * (text in OUT))
-    body = "__t" if text in OUT else text
-    df = df.withColumn("__found", F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<array<int>>").alias("r"), F.array().cast("array<string>").alias("i"), F.array().cast("array<array<int>>").alias("c")))
-    for block in blocks:
-        df = df.withColumn("__found", _scanner(spark.sparkContext.broadcast(block))(F.col(body), F.col("__found.r"), F.col("__found.i")))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<array<int>>").alias("r"), F.array().cast("array<string>").alias("i"), F.array().cast("array<array<int>>").alias("c"))
+    #: the input's columns travel in a struct, so that none can clash with the scan's own
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"), none.alias("found"))
+    for k, block in enumerate(blocks):
+        df = materialize(df, "scanned") if k else df
+        df = df.withColumn("found", _scanner(spark.sparkContext.broadcast(block))(F.col("text"), F.col("found.r"), F.col("found.i")))
     return df.select(
-        *[F.col(f"`{c}`") for c in df.columns if c not in ("__found", "__t")],
-        F.col("__found.n").alias("n_words"),
-        F.aggregate("__found.r", F.lit(0).cast("long"), lambda a, r: a + r[1] - r[0] + 1).alias("n_hit"),
-        F.size("__found.i").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__found.i", ","), 256).alias("items_sha256"),
-        (F.size("__found.r") > 0).alias("contaminated"),
-        F.col("__found.i").alias("item_ids"),
-        F.transform("__found.c", lambda c: F.struct(c[0].alias("start"), c[1].alias("end"))).alias("spans"),
+        *[F.col(f"row.`{c}`") for c in docs.columns if c not in OUT],
+        F.col("found.n").alias("n_words"),
+        F.aggregate("found.r", F.lit(0).cast("long"), lambda a, r: a + r[1] - r[0] + 1).alias("n_hit"),
+        F.size("found.i").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.i", ","), 256).alias("items_sha256"),
+        (F.size("found.r") > 0).alias("contaminated"),
+        F.col("found.i").alias("item_ids"),
+        F.transform("found.c", lambda c: F.struct(c[0].alias("start"), c[1].alias("end"))).alias("spans"),
     )
 
 

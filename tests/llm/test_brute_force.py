@@ -96,9 +96,32 @@ def test_quantisation_bounds():
     approx = embdedup.product(q.rows(), q.rows()).astype(np.float64) * q.scale[:, None] * q.scale[None]
     bound = q.norm[:, None] * q.lost[None] + q.lost[:, None]
     assert (np.abs(approx - x @ x.T) <= bound + 1e-9).all() and bound.max() < 0.05
-    i, j, again = embdedup.links(x, None, 0.5)
+    blocks = list(embdedup.links(x, None, 0.5))
     expected = {(a, b) for a, b in zip(*np.nonzero(np.triu(x @ x.T >= 0.5, 1)), strict=True)}
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == expected and again < 300 * 299 / 2
+    assert {(a, b) for i, j, _ in blocks for a, b in zip(i.tolist(), j.tolist(), strict=True)} == expected and sum(n for _, _, n in blocks) < 300 * 299 / 2
+
+
+def test_links_of_dense_tiles_come_in_bounded_blocks(monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(embdedup, "PAIRS", 4096)
+    x = embdedup.unit(rng.normal(size=(1, 16)) + 0.01 * rng.normal(size=(1500, 16)))
+    forest, count = embdedup.Forest(len(x)), 0
+    for i, j, again in embdedup.links(x, None, 0.95):
+        assert again <= 4096
+        count += len(i)
+        forest.add(i, j)
+    assert count == 1500 * 1499 // 2 and (forest.root == 0).all()
+
+
+def test_forest_equals_union_find():
+    r = random.Random(3)
+    for _ in range(100):
+        n = r.randrange(1, 40)
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(r.randrange(40))]
+        forest, root = embdedup.Forest(n), groups(range(n), edges)
+        for at in range(0, len(edges), 7):
+            forest.add(*(np.array(z) for z in zip(*edges[at : at + 7], strict=True)))
+        assert forest.root.tolist() == [root[i] for i in range(n)]
 
 
 def weighted(words, k=5):
@@ -184,10 +207,13 @@ def test_plan_uses_counts_exactly():
 
 def test_encoder_equals_the_tokenizer():
     public_tokenizers = pytest.importorskip("public_tokenizers")
-    e = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
-    texts = ["Hello, world! don't  stop\n\tNOW", "", None, "ÀÉÎ straße ŒUVRE İstanbul", "ΟΔΟΣ odd \x1c sep", "日本語 text <|endoftext|> x", "a" * 5000, "é" * 50 + " e\u0301 x", "\u00a0nbsp\u00a0here 12,345.67"]
+    from tokenizers import Tokenizer
+
+    e, plain = packing.Encoder(public_tokenizers.path("word_bpe_49k.json")), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert len(plain.encode("a <|endoftext|> b", add_special_tokens=False).ids) == 3
+    texts = ["Hello, world! don't  stop\n\tNOW", "", None, "a <|endoftext|> b", "<|STARTOFTEXT|>x", "<|endoftext|>", "a < | b <| c", "ÀÉÎ straße ŒUVRE İstanbul", "ΟΔΟΣ odd \x1c sep", "日本語 text <|endoftext|> x", "a" * 5000, "é" * 50 + " e\u0301 x", "\u00a0nbsp\u00a0here 12,345.67"]
     for got, t in zip(e.encode(texts) + e.encode(texts[::-1]), texts + texts[::-1], strict=True):
-        assert got == np.array(e.t.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert got == np.array(plain.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
     pieces = packing.pieces_of(np.arange(10_000, dtype="<u4").tobytes())
     assert [p[:3] for p in pieces] == [(0, 0, 4096), (1, 4096, 4096), (2, 8192, 1809)] and pieces[0][3] == zlib.crc32(np.arange(4096, dtype="<u4").tobytes())
 
@@ -205,6 +231,89 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.predicted == r.quality for r in scored]) > 0.85
 
 
+def test_decoding_equals_its_definition():
+    """Loss-weighted decoding, restated for one text at a time, and n-gram counts by plain loops."""
+    rows = [("en", f"the quick brown fox {k} jumps over it") for k in range(8)] + [("de", f"der schnelle braune fuchs {k} springt") for k in range(8)] + [("fr", f"le renard brun {k} saute par dessus") for k in range(8)]
+    model = langid.fit(rows)
+    assert sorted({tuple(c) for c in model.code.T.tolist()}) and len({tuple(c) for c in model.code.tolist()}) == 3
+    texts = ["the fox jumps", "der fuchs springt über", "le renard", "x", "日本"]
+    x = np.stack([langid.features(t) for t in texts])
+    which, score, gap = model.decode(x)
+    for k, t in enumerate(texts):
+        f = [float(sum(x[k, i] * model.w[i, bit] for i in np.flatnonzero(x[k])) + model.b[bit]) for bit in range(model.code.shape[1])]
+        loss = [sum(model.bit_weight[bit] * np.log1p(np.exp(-f[bit] * word[bit])) for bit in range(len(f))) for word in model.code]
+        p = np.exp(-np.array(loss)) / np.exp(-np.array(loss)).sum()
+        assert which[k] == int(np.argmin(loss)) and score[k] == pytest.approx(p.max(), abs=1e-4) and gap[k] == pytest.approx(sorted(loss)[1] - min(loss), abs=1e-4), t
+    text = "abracadabra é " * 3
+    raw = f" {text.lower()} ".encode()
+    distinct = [len({raw[i : i + n] for i in range(len(raw) - n + 1)}) for n in langid.ORDERS]
+    size = 1 << langid.BITS
+    got = [int(np.count_nonzero(langid.features(text)[k * size : (k + 1) * size])) for k in range(4)]
+    assert all(d - 2 <= g <= d for g, d in zip(got, distinct, strict=True)) and np.linalg.norm(langid.features(text)) == pytest.approx(1, abs=1e-5)
+
+
+def test_forward_pass_equals_plain_loops():
+    """Embedding, convolution, rectifier, maxima, hidden layer and the two poolings over a whole document, one number at a time."""
+    net = quality.Net(seed=2)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    for text in ("", "short", "héllo wörld " * 40, "long text " * 90):
+        raw, hidden, at = text.encode(), [], 0
+        while True:
+            chunk = [raw[at + i] if at + i < len(raw) else quality.PAD for i in range(quality.CHUNK)]
+            best = np.full(quality.FILTERS, -np.inf)
+            for start in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+                seen = np.concatenate([p["e"][b] for b in chunk[start : start + quality.WIDTH]])
+                best = np.maximum(best, seen @ p["k"])
+            hidden.append(np.tanh(np.maximum(best + p["kb"], 0) @ p["h"] + p["hb"]))
+            at += quality.HOP
+            if at + quality.CHUNK - quality.HOP >= len(raw):
+                break
+        z = np.concatenate([np.mean(hidden, axis=0), np.max(hidden, axis=0)]) @ p["o"] + p["ob"][0]
+        assert net.score([text])[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5), text[:9]
+
+
+def test_mined_rules_equal_counts(spark):
+    """Confidence and support of every mined rule, counted over the labelled URLs."""
+    from pyspark.sql import functions as F
+
+    from stratakb.llm import urlrules
+
+    r = random.Random(9)
+    urls = [f"http://{r.choice(['a', 'b', 'www.b', 'c.d'])}.{r.choice(['net', 'org'])}/{r.choice(['x', 'y', 'a-very-long-segment-of-more-than-forty-characters-in-all'])}/{r.randrange(50)}?k={r.randrange(3)}" for _ in range(300)]
+    df = spark.createDataFrame([(u, "b." in u and "/x" in u or r.random() < 0.1) for u in urls], "url string, bad boolean")
+    sets = [(set(x.t), x.bad) for x in df.select(urlrules.tokens(F.col("url")).alias("t"), "bad").collect()]
+    assert any("more-than-forty" in t for s, _ in sets for t in s)
+    rules = urlrules.mine(df, min_support=0.02, min_confidence=0.6).collect()
+    assert rules
+    for x in rules:
+        has = [bad for s, bad in sets if set(x.antecedent) <= s]
+        right = sum(bad == (x.label == "=bad") for bad in has)
+        assert x.confidence == pytest.approx(right / len(has)) and x.support == pytest.approx(right / len(sets)) and x.confidence >= 0.6 and x.support >= 0.02
+        assert sum(a.startswith(urlrules.LEVELS) for a in x.antecedent) <= 1
+    kept = {(frozenset(x.antecedent), x.label) for x in rules}
+    tokens = sorted(set().union(*(s for s, _ in sets)))
+    for size in (1, 2):
+        for some in itertools.combinations(tokens, size):
+            if sum(a.startswith(urlrules.LEVELS) for a in some) > 1:
+                continue
+            has = [bad for s, bad in sets if set(some) <= s]
+            for label in (True, False):
+                right, base = sum(bad == label for bad in has), sum(bad == label for _, bad in sets) / len(sets)
+                if has and right >= 0.021 * len(sets) and right / len(has) >= 0.6 and right / len(has) > base + 1e-9:
+                    assert (frozenset(some), "=bad" if label else "=good") in kept
+
+
+def test_samples_are_bounded_and_the_same_for_any_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from stratakb.llm.sampling import training_sample
+
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") < 50, "b").otherwise("c").alias("label"))
+    got = [training_sample(df.repartition(n), df.repartition(n), per_label=40, max_chars=10) for n in (1, 7)]
+    per = Counter(label for label, _ in got[0])
+    assert got[0] == got[1] and per["a"] == per["c"] == 40 and 0 < per["b"] <= 40
+
+
 def test_gradient():
     net = quality.Net(seed=1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

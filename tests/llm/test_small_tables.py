@@ -22,7 +22,7 @@ def odd(spark):
 
 def test_decontaminate(spark):
     bench = spark.createDataFrame([(1, EN), (2, None), (3, "!!"), (4, "lazy dog"), (5, EN)], "item_id long, text string")
-    d = odd(spark).withColumn("n_hit", F.lit("clash")).withColumn("spans", F.lit(1))
+    d = odd(spark).withColumn("n_hit", F.lit("clash")).withColumn("spans", F.lit(1)).withColumn("found", F.lit(2)).withColumn("row", F.lit(3))
     got = decontam.decontaminate(d, bench).collect()
     assert len(got) == 12 and got[0].n_words == 0 and not got[0].contaminated
     three = [r for r in got if r.doc_id == 3]
@@ -100,7 +100,12 @@ def test_warc_bytes_round_trip(spark, tmp_path):
     warc.write_archive(df, str(tmp_path / "w"))
     recs = {r.page_id: bytes(r.record) for r in warc.read_archive(spark, str(tmp_path / "w")).collect()}
     digest = base64.b32encode(hashlib.sha1("päge".encode()).digest())
-    assert recs[1].startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and recs[1].endswith(b"\r\n\r\n" + "päge".encode() + b"\r\n\r\n") and b"WARC-Payload-Digest: sha1:" + digest in recs[1]
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: 5\r\n\r\n"
+    assert recs[1].startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and recs[1].endswith(b"\r\n\r\n" + head + "päge".encode() + b"\r\n\r\n") and b"WARC-Payload-Digest: sha1:" + digest in recs[1]
+    assert b"Content-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\nHTTP" % (len(head) + 5) in recs[1]
+    parsed = {r.page_id: r for r in warc.parse(warc.read_archive(spark, str(tmp_path / "w")).select("page_id", "record")).collect()}
+    assert bytes(parsed[1].body) == "päge".encode() and parsed[1].refers_to is None and parsed[2].body is None and parsed[2].refers_to == "1" and parsed[2].digest == digest.decode()
+    assert not spark.catalog.listTables()
     assert b"WARC-Refers-To: <urn:page:1>" in recs[2] and recs[2].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
     assert spark.read.parquet(str(tmp_path / "w/payloads")).count() == 1
 
@@ -163,13 +168,17 @@ def test_stages(spark, tmp_path):
     spark.createDataFrame([(1, EN), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     filler = [f"{a} story about {b} and the {a} that went over the {b} with nothing else to do {k}" for k, (a, b) in enumerate([("cat", "moon"), ("dog", "sun"), ("cow", "sea")])]
     table = docs(spark, None, "", "!!!", *filler, filler[0], f"before {EN} after", LONG)
+    for name in ("score", "lang_pred", "n_words", "spans", "kept", "component", "lines", "row", "found", "key"):
+        table = table.withColumn(name, F.lit(7.5))
+    bare = table.select("doc_id", "text", "lang")
+    assert corpus_pipeline.line_dedup(spark, bare, str(tmp_path)).columns == bare.columns
     for rows in (table, table.limit(0)):
         now = rows
         for name, stage in corpus_pipeline.STAGES:
             before = now
             now = stage(spark, before, str(tmp_path))
             if name != "pack":
-                assert now.columns == table.columns
+                assert now.columns == table.columns and {x for r in now.collect() for x in r[5:]} <= {7.5}
             path = str(tmp_path / f"{name}-{rows is table}")
             now.write.parquet(path)
             now = spark.read.parquet(path)
