@@ -13,17 +13,22 @@ def fates(anchors: DataFrame, entries: DataFrame, files: DataFrame, symbols: Dat
     """The live anchors with fate (fresh, followed, stale, invalidated), reason, and where they point now.
 
     The lookups are aggregated to one row for each key before they are joined,
-    so no join multiplies anchors and a key with many rows is pre-aggregated.
+    so no join multiplies anchors and a key with many rows is pre-aggregated. An
+    anchor without a symbol or a hash gets a key of its own there, so that null
+    keys don't meet in one task.
     """
+    key = lambda c: F.concat(F.lit("k"), F.col(c))
     live = anchors.join(entries.where("status != 'superseded'").select(F.col("id").alias("entry_id")), "entry_id", "left_semi")
     by_path = files.groupBy(F.col("path").alias("file")).agg(F.min("hash").alias("path_hash"))
-    by_content = files.groupBy(F.col("hash").alias("ast_body_hash")).agg(F.count(F.lit(1)).alias("n_files"), F.min_by("path", "path").alias("to_path"), F.min_by("size", "path").alias("to_size"))
-    by_pair = symbols.select(F.col("fqn").alias("symbol_fqn"), F.col("body_hash").alias("ast_body_hash"), F.lit(True).alias("pair")).distinct()
-    by_name = symbols.select(F.col("fqn").alias("symbol_fqn"), F.lit(True).alias("named")).distinct()
-    by_body = symbols.groupBy(F.col("body_hash").alias("ast_body_hash")).agg(
+    by_content = files.groupBy(key("hash").alias("file_key")).agg(F.count(F.lit(1)).alias("n_files"), F.min_by("path", "path").alias("to_path"), F.min_by("size", "path").alias("to_size"))
+    by_pair = symbols.select(key("fqn").alias("name_key"), key("body_hash").alias("body_key"), F.lit(True).alias("pair")).distinct()
+    by_name = symbols.select(key("fqn").alias("name_key"), F.lit(True).alias("named")).distinct()
+    by_body = symbols.groupBy(key("body_hash").alias("body_key")).agg(
         F.count(F.lit(1)).alias("n_symbols"), F.min_by("fqn", "id").alias("to_fqn"), F.min_by("file", "id").alias("to_file"), F.min_by(F.struct("body_len"), "id")["body_len"].alias("to_len")
     )
-    a = live.join(by_path, "file", "left").join(by_content, "ast_body_hash", "left").join(by_pair, ["symbol_fqn", "ast_body_hash"], "left").join(by_name, "symbol_fqn", "left").join(by_body, "ast_body_hash", "left")
+    own, of_file = F.concat(F.lit("n"), F.col("id").cast("string")), F.col("symbol_fqn").isNull()
+    live = live.withColumns({"name_key": F.coalesce(key("symbol_fqn"), own), "body_key": F.when(of_file, own).otherwise(F.coalesce(key("ast_body_hash"), own)), "file_key": F.when(of_file, F.coalesce(key("ast_body_hash"), own)).otherwise(own)})
+    a = live.join(by_path, "file", "left").join(by_content, "file_key", "left").join(by_pair, ["name_key", "body_key"], "left").join(by_name, "name_key", "left").join(by_body, "body_key", "left")
     is_file, known, there = F.col("symbol_fqn").isNull(), F.col("ast_body_hash").isNotNull(), F.col("path_hash").isNotNull()
     n_files, n_symbols = F.coalesce("n_files", F.lit(0)), F.coalesce("n_symbols", F.lit(0))
     case = (

@@ -10,6 +10,7 @@ from ..functions.text import fts_terms
 from ..runtime import materialize
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+BROADCAST_ROWS = 200_000  # rows of a few dozen bytes: some MB
 
 
 def plain_tokens(text: Column) -> Column:
@@ -30,25 +31,61 @@ def phrases(queries: DataFrame, *, stem: bool = False, task: str = "task") -> Da
     return q.select("query_id", "q", F.size("parts").alias("len"), F.posexplode("parts").alias("off", "term"))
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most BROADCAST_ROWS short rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _term_counts(entries: DataFrame, terms: DataFrame, make) -> DataFrame:
+    """(id, dl, phrase, tf) of the terms an entry has, and a row with the phrase "" for every entry.
+
+    Each body is tokenized once; tokens that no query asks for go before the
+    shuffle, which carries a row for each entry and term, not for each token.
+    """
+    words = F.coalesce(make(F.col("body")), F.array().cast("array<string>"))
+    tokens = entries.select("id", words.alias("w"))
+    tokens = tokens.select("id", F.size("w").alias("dl"), F.explode(F.array_append("w", F.lit(""))).alias("phrase"))
+    wanted = terms.select("phrase").union(entries.sparkSession.range(1).select(F.lit("")))
+    return tokens.join(_bounded(wanted), "phrase").groupBy("id", "dl", "phrase").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _phrase_counts(entries: DataFrame, parts: DataFrame, make) -> DataFrame:
+    """(id, dl, phrase, tf) of phrases of several tokens: they occur where all tokens stand at their offsets."""
+    tokens = entries.select("id", make(F.col("body")).alias("w")).select("id", F.size("w").alias("dl"), F.posexplode("w").alias("pos", "term"))
+    hits = tokens.join(_bounded(parts), "term")
+    whole = hits.groupBy("phrase", "id", "dl", "len", (F.col("pos") - F.col("off")).alias("start")).agg(F.count(F.lit(1)).alias("got")).where("got = len")
+    return whole.groupBy("id", "dl", "phrase").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def bm25(entries: DataFrame, queries: DataFrame, *, stem: bool = False) -> DataFrame:
     """(query_id, id, rank, text): rank is minus BM25, text min-max normalised over all matches of the query (1 if all are equal).
 
-    Statistics span all entries, whatever is filtered later. Only the tokens of
-    a query's terms meet postings, so the shuffle carries matches, not the index.
-    The counts are written once to the shared folder, as three steps read them.
+    Statistics span all entries, whatever is filtered later. Distinct phrases of
+    all queries are counted in the entries first; queries come in last, so a
+    term that many queries share is counted once. Counts and ranks are written
+    to the shared folder, as several steps read them. Small sides are broadcast
+    only after their rows have been counted.
     """
     make = stemmed if stem else plain_tokens
-    tokens = entries.select("id", F.coalesce(make(F.col("body")), F.array().cast("array<string>")).alias("w"))
-    corpus = tokens.agg(F.count(F.lit(1)).alias("n_all"), F.avg(F.size("w")).alias("avgdl"))
-    hits = tokens.select("id", F.size("w").alias("dl"), F.posexplode("w").alias("pos", "term")).join(phrases(queries, stem=stem), "term")
-    #: a phrase occurs where all its tokens stand at their offsets
-    whole = hits.groupBy("query_id", "q", "id", "dl", "len", (F.col("pos") - F.col("off")).alias("start")).agg(F.count(F.lit(1)).alias("got")).where("got = len")
-    tf = materialize(whole.groupBy("query_id", "q", "id", "dl").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
-    df = tf.groupBy("query_id", "q").agg(F.count(F.lit(1)).alias("df"))
-    rows = tf.join(df, ["query_id", "q"]).crossJoin(F.broadcast(corpus))  # one row of statistics
+    asked = materialize(phrases(queries, stem=stem), "phrases")
+    by_q = asked.groupBy("query_id", "q").agg(F.max("len").alias("len"), F.array_sort(F.collect_list(F.struct("off", "term"))).alias("parts"))
+    by_q = by_q.select("query_id", "len", "parts", F.array_join(F.transform("parts", lambda p: p["term"]), " ").alias("phrase"))
+    of_query = materialize(by_q.groupBy("query_id", "phrase", "len", "parts").agg(F.count(F.lit(1)).alias("times")), "query-phrases")
+    single = of_query.where("len = 1").select("phrase").distinct()
+    several = of_query.where("len > 1").select("phrase", "len", F.explode("parts").alias("p")).select("phrase", "len", "p.off", "p.term").distinct()
+    counts = _term_counts(entries, single, make)
+    if several.limit(1).count():
+        counts = counts.unionByName(_phrase_counts(entries, several, make))
+    #: an entry's counts stay together, so that its sums are taken before the shuffle
+    counts = materialize(counts.repartition("id"), "term-counts")
+    corpus = counts.where("phrase = ''").agg(F.count(F.lit(1)).alias("n_all"), F.avg("dl").alias("avgdl"))
+    df = counts.where("phrase != ''").groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
+    weights = of_query.select("query_id", "phrase", "times").join(df, "phrase").crossJoin(corpus)  # one row of statistics
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    ranked = rows.groupBy("query_id", "id").agg((-F.sum(part)).alias("rank"))
+    weights = materialize(weights.select("query_id", "phrase", "avgdl", (idf * F.col("times")).alias("weight")), "weights")
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    ranked = counts.join(_bounded(weights), "phrase").groupBy("query_id", "id").agg((-F.sum(part)).alias("rank"))
+    ranked = materialize(ranked, "ranks")
     span = ranked.groupBy("query_id").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"))
     text = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("rank")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)
-    return ranked.join(span, "query_id").select("query_id", "id", "rank", text.alias("text"))
+    return ranked.join(_bounded(span), "query_id").select("query_id", "id", "rank", text.alias("text"))

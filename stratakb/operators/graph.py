@@ -72,12 +72,8 @@ def map_files(targets: DataFrame, symbols: DataFrame, calls: DataFrame, entries:
     t = targets.select(F.col("target").alias("file"))
 
     def part(name: str, rows: DataFrame, order: list, cap: int | None) -> DataFrame:
-        w = Window.partitionBy("file")
-        if cap:
-            totals = rows.groupBy("file").agg(F.count(F.lit(1)).alias("total"))
-            rows = first_k(rows, "file", order, cap).join(totals, "file")
-        else:
-            rows = rows.withColumn("total", F.count(F.lit(1)).over(w))
+        totals = rows.groupBy("file").agg(F.count(F.lit(1)).alias("total"))
+        rows = (first_k(rows, "file", order, cap) if cap else rows).join(totals, "file")
         return rows.select(F.col("file").alias("target"), F.lit(name).alias("part"), "key", "detail", F.col("total").cast("long").alias("total"))
 
     outline = symbols.join(t, "file", "left_semi").select("file", F.col("fqn").alias("key"), F.concat_ws(":", "kind", F.col("start_line").cast("string"), F.col("end_line").cast("string")).alias("detail"))

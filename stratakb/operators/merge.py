@@ -50,10 +50,13 @@ def outcomes(changes: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
     sequential loop; ids are independent, so it scales with them.
     """
     c = changes.withColumn("reject_reason", import_reject({k: F.col(k) for k in ("body", "evidence_cmd", "source", "updated_at", "kind", "status", "origin")}, now))
-    c = c.join(entries.where("origin is not null").select("origin", F.col("id").alias("owner")), "origin", "left")
-    first = F.first(F.when(F.col("reject_reason").isNull(), F.col("id")), ignorenulls=True).over(Window.partitionBy("origin").orderBy("n"))
+    #: a line without an origin is a key of its own, so that they don't all meet in one task
+    c = c.withColumn("__key", F.coalesce(F.concat(F.lit("o"), F.col("origin")), F.concat(F.lit("n"), F.col("n").cast("string"))))
+    owners = entries.where("origin is not null").select(F.concat(F.lit("o"), F.col("origin")).alias("__key"), F.col("id").alias("owner"))
+    c = c.join(owners, "__key", "left")
+    first = F.first(F.when(F.col("reject_reason").isNull(), F.col("id")), ignorenulls=True).over(Window.partitionBy("__key").orderBy("n"))
     owner = F.when(F.col("origin").isNotNull(), F.coalesce("owner", first))
-    c = c.withColumn("reject_reason", F.when(F.col("reject_reason").isNull() & owner.isNotNull() & (owner != F.col("id")), "origin_clash").otherwise(F.col("reject_reason"))).drop("owner")
+    c = c.withColumn("reject_reason", F.when(F.col("reject_reason").isNull() & owner.isNotNull() & (owner != F.col("id")), "origin_clash").otherwise(F.col("reject_reason"))).drop("owner", "__key")
     c = c.join(entries.select("id", F.col("updated_at").alias("stored")), "id", "left")
     before = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     newest = F.greatest("stored", F.max(F.when(F.col("reject_reason").isNull(), F.col("updated_at"))).over(before))

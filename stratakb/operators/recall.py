@@ -16,12 +16,30 @@ from ..schemas import CANDIDATES, ITEM_OVERHEAD, RECALL_FLOOR, SEARCH_OVERHEAD
 from .fts import bm25
 
 
+GRAM = 3  # characters of a file stem that are looked up
+
+
+def ascii_lower(c: Column) -> Column:
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _grams(c: Column) -> Column:
+    """All substrings of up to GRAM characters, the empty one too, each once."""
+    of = lambda k: F.when(F.char_length(c) >= k, F.transform(F.sequence(F.lit(1), F.char_length(c) - (k - 1)), lambda i: F.substring(c, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[of(k) for k in range(1, GRAM + 1)]))
+
+
 def neighbours(queries: DataFrame, imports: DataFrame) -> DataFrame:
     """(query_id, file): what working files import, and the files whose import names a working file's stem (ASCII case ignored)."""
     ws = queries.select("query_id", F.explode("working_set").alias("ws")).distinct()
     forward = ws.join(imports, F.col("ws") == F.col("file")).select("query_id", F.col("target").alias("file"))
-    stems = ws.select("query_id", F.lower(file_stem(F.col("ws"))).alias("stem"))
-    backward = imports.join(stems, F.lower("target").contains(F.col("stem"))).select("query_id", "file")
+    stems = ws.select("query_id", ascii_lower(file_stem(F.col("ws"))).alias("stem"))
+    #: a stem is looked up by its first characters among those that stand anywhere in a target
+    keyed = stems.select("stem").distinct().withColumn("gram", F.substring("stem", 1, GRAM))
+    targets = imports.select("target").distinct().withColumn("folded", ascii_lower(F.col("target")))
+    listed = targets.select("target", "folded", F.explode(_grams(F.col("folded"))).alias("gram"))
+    named = listed.join(keyed, "gram").where(F.col("folded").contains(F.col("stem"))).select("target", "stem").distinct()
+    backward = imports.join(named, "target").join(stems, "stem").select("query_id", "file")
     return forward.union(backward).distinct()
 
 
@@ -55,7 +73,7 @@ def scored(queries: DataFrame, entries: DataFrame, anchors: DataFrame, links: Da
     visible = entries.where("status != 'superseded'").join(archived.select(F.col("entry_id").alias("id")), "id", "left_anti")
     around = neighbours(queries, imports).groupBy("query_id").agg(F.collect_set("file").alias("around"))
     context = queries.select("query_id", "working_set", "budget", "now").join(around, "query_id", "left").withColumn("around", F.coalesce("around", F.array().cast("array<string>")))
-    rows = candidates.join(hits.select("query_id", "id", "text"), ["query_id", "id"], "left").join(visible, "id").join(F.broadcast(context), "query_id")
+    rows = candidates.join(hits.select("query_id", "id", "text"), ["query_id", "id"], "left").join(visible, "id").join(context, "query_id")
     files = anchors.select(F.col("entry_id").alias("id"), "file")
     close = rows.select("query_id", "id", "working_set", "around").join(files, "id").groupBy("query_id", "id").agg(F.max(proximity(F.col("file"), F.col("working_set"), F.col("around"))).alias("near"))
     rows = rows.join(close, ["query_id", "id"], "left").join(contradictions(links), "id", "left")
@@ -78,12 +96,18 @@ def floored(rows: DataFrame) -> DataFrame:
 def packed(rows: DataFrame) -> DataFrame:
     """The relevant items that fit the budget: best first, one that doesn't fit is skipped, the first always stays. place from 1.
 
-    A query has at most the candidate limit plus its working set's entries, so
-    its items are folded as one array.
+    Of items of one cost at most budget / cost can be taken, and they are the
+    best of them, as what doesn't fit once never fits later. So a query's items
+    are cut to these, the best item of all aside, before they are folded as one
+    array, whose length depends on the budget and not on the working set.
     """
     keep = rows.where("relevant")
     item = F.struct((-F.col("score")).alias("order"), F.col("id"), F.col("cost").cast("long").alias("cost"))
-    lists = keep.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.first("budget").cast("long").alias("budget"))
+    best = keep.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("order"), "id"))["id"].alias("best"))
+    same_cost = Window.partitionBy("query_id", "cost").orderBy(F.desc("score"), "id")
+    able = keep.where(F.col("cost") <= F.col("budget")).withColumn("n", F.row_number().over(same_cost)).where(F.col("n") <= F.floor(F.col("budget") / F.col("cost")) + 1).drop("n")
+    first = keep.join(best, "query_id").where((F.col("id") == F.col("best")) & (F.col("cost") > F.col("budget"))).drop("best")
+    lists = able.unionByName(first.select(*able.columns)).groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.first("budget").cast("long").alias("budget"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("ids"))
 
     def step(acc: Column, x: Column) -> Column:

@@ -74,14 +74,7 @@ class View:
         return of_nation.unionByName(n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("world."), "n_name").alias("child_fqn"), F.col("r_name").alias("parent_name"), F.lit("extends").alias("rel"), F.lit("nation").alias("file")))
 
     def calls(self) -> DataFrame:
-        """The calls the SQL sees: one order in 50."""
-        return self._calls(self.raw("lineitem").where("l_orderkey % 50 = 1"))
-
-    def all_calls(self) -> DataFrame:
-        return self._calls(self.raw("lineitem"))
-
-    def _calls(self, items: DataFrame) -> DataFrame:
-        li = items.join(self.raw("part"), F.col("l_partkey") == F.col("p_partkey"))
+        li = self.raw("lineitem").join(self.raw("part"), F.col("l_partkey") == F.col("p_partkey"))
         return li.select(F.concat(F.lit("order."), (F.col("l_orderkey") % 1000).cast("string")).alias("caller_fqn"), F.col("p_name").alias("callee_name"), F.col("p_type").alias("file"))
 
 
@@ -104,7 +97,7 @@ SQL = {
       UNION ALL SELECT p_brand || '.' || p_name, p_name, 'function', p_type, p_size, p_size + 9, p_partkey + 1000 FROM part""",
     "inherits": """SELECT 'customer.' || c_name AS child_fqn, n_name AS parent_name, 'extends' AS rel FROM customer JOIN nation ON c_nationkey = n_nationkey
       UNION ALL SELECT 'world.' || n_name, r_name, 'extends' FROM nation JOIN region ON n_regionkey = r_regionkey""",
-    "calls": "SELECT 'order.' || (l_orderkey % 1000) AS caller_fqn, p_name AS callee_name, p_type AS file FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 50 = 1",
+    "calls": "SELECT 'order.' || (l_orderkey % 1000) AS caller_fqn, p_name AS callee_name, p_type AS file FROM lineitem JOIN part ON l_partkey = p_partkey",
 }
 
 

@@ -228,17 +228,20 @@ def lww_report(v: View) -> DataFrame:
 
 # --- duplicates and conflicts -------------------------------------------------
 
+RESTATED = 8  # turns
+
 _FEAT = f"""f AS (SELECT conv_id, turn, role, text, {_SIG.format("text")} AS o, list_sort(list_distinct(regexp_extract_all(text, '[0-9]+'))) AS nums, {_NEG.format("text")} AS neg FROM conversations),
   g AS (SELECT *, list_distinct(o) AS t, list_distinct([o[i] || ' ' || o[i + 1] for i in range(1, len(o))]) AS bg FROM f),
   p AS (SELECT x.conv_id || ':' || x.turn AS a, y.conv_id || ':' || y.turn AS b, x.o AS xo, y.o AS yo, x.t AS xt, y.t AS yt, x.nums AS xn, y.nums AS yn, x.neg AS xg, y.neg AS yg, len(list_intersect(x.t, y.t)) AS ti, len(list_distinct(list_concat(x.t, y.t))) AS tu, len(list_intersect(x.bg, y.bg)) AS bi, len(list_distinct(list_concat(x.bg, y.bg))) AS bu
-    FROM g x JOIN g y ON x.conv_id = y.conv_id AND x.turn < y.turn),
+    FROM g x JOIN g y ON x.conv_id = y.conv_id AND x.turn < y.turn AND y.turn - x.turn <= {RESTATED}),
   q AS (SELECT *, CASE WHEN tu > 0 THEN ti / CAST(tu AS DOUBLE) ELSE 0.0 END AS jr, CASE WHEN bu > 0 THEN bi / CAST(bu AS DOUBLE) ELSE 0.0 END AS jbr FROM p)"""
 
 
 def _turns(v: View) -> tuple[DataFrame, DataFrame]:
+    """(pairs, turns): each turn with the RESTATED turns before it, where a speaker restates or contradicts."""
     c = v.raw("conversations").select("conv_id", "turn", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("body"))
-    x, y = c.alias("x"), c.alias("y")
-    return x.join(y, (F.col("x.conv_id") == F.col("y.conv_id")) & (F.col("x.turn") < F.col("y.turn"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), c
+    later = c.select("conv_id", F.explode(F.sequence(F.col("turn") - RESTATED, F.col("turn") - 1)).alias("turn"), F.col("id").alias("b"))
+    return c.select("conv_id", "turn", F.col("id").alias("a")).join(later, ["conv_id", "turn"]).select("a", "b"), c
 
 
 @query(f"WITH {_FEAT} SELECT a, b, round(jr, 6) AS j, round(jbr, 6) AS jb FROM q")
@@ -441,19 +444,11 @@ _RES = f"""{with_views("symbols", "inherits", "calls")}, res AS (SELECT name, le
 _LABEL = "CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END"
 
 
-def _resolve_name(v: View, calls: DataFrame) -> DataFrame:
-    names = calls.select(F.col("callee_name").alias("name")).union(v.inherits().select("parent_name")).distinct().union(v.spark.range(1).select(F.lit("nothing")))
-    return graph.resolve_names(names, v.symbols()).select("name", "resolved", "fqn")
-
-
 @query(f"WITH {_RES} SELECT name, {_LABEL} AS resolved, coalesce(first_fqn, name) AS fqn FROM (SELECT DISTINCT callee_name AS name FROM v_calls UNION SELECT parent_name FROM v_inherits UNION SELECT 'nothing') LEFT JOIN res USING (name)")
 def resolve_name(v: View) -> DataFrame:
-    return _resolve_name(v, v.calls())
-
-
-@query()
-def resolve_name_whole(v: View) -> DataFrame:
-    return _resolve_name(v, v.all_calls())
+    calls = v.calls()
+    names = calls.select(F.col("callee_name").alias("name")).union(v.inherits().select("parent_name")).distinct().union(v.spark.range(1).select(F.lit("nothing")))
+    return graph.resolve_names(names, v.symbols()).select("name", "resolved", "fqn")
 
 
 _UP = f"""WITH {_RES}, one AS (SELECT child_fqn AS target, coalesce(first_fqn, parent_name) AS fqn, rel, {_LABEL} AS resolved, 1 AS depth FROM v_inherits LEFT JOIN res ON name = parent_name),
@@ -466,36 +461,20 @@ def lineage_ancestors(v: View) -> DataFrame:
     return graph.ancestors(i.select(F.col("child_fqn").alias("target")).distinct(), i, v.symbols()).select("target", "fqn", "rel", "resolved", "depth")
 
 
-def _lineage_descendants(v: View, calls: DataFrame) -> DataFrame:
-    targets = v.symbols().where("file in ('nation', 'region')").select(F.col("fqn").alias("target")).union(calls.select("caller_fqn")).distinct()
-    return graph.descendants(targets, v.inherits(), calls, v.symbols()).select("target", "fqn", "rel", "resolved", "truncated")
-
-
 @query(f"""WITH {_RES}, t AS (SELECT fqn AS target, name AS leaf FROM v_symbols WHERE file IN ('nation', 'region') UNION SELECT DISTINCT caller_fqn, split_part(caller_fqn, '.', 2) FROM v_calls),
   e AS (SELECT target, child_fqn AS fqn, rel, 'unique' AS resolved, 0 AS via FROM t JOIN v_inherits ON parent_name = leaf UNION ALL SELECT target, coalesce(first_fqn, callee_name), 'calls', {_LABEL}, 1 FROM t JOIN v_calls ON caller_fqn = target LEFT JOIN res ON res.name = callee_name),
   k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY fqn, rel, via) AS k, count(*) OVER (PARTITION BY target) > 40 AS truncated FROM e) SELECT target, fqn, rel, resolved, truncated FROM k WHERE k <= 40""")
 def lineage_descendants(v: View) -> DataFrame:
-    return _lineage_descendants(v, v.calls())
-
-
-@query()
-def lineage_descendants_whole(v: View) -> DataFrame:
-    return _lineage_descendants(v, v.all_calls())
-
-
-def _lineage_callers(v: View, calls: DataFrame) -> DataFrame:
-    return graph.callers(v.symbols().select(F.col("fqn").alias("target")).distinct(), calls).select("target", "fqn", "truncated")
+    calls = v.calls()
+    targets = v.symbols().where("file in ('nation', 'region')").select(F.col("fqn").alias("target")).union(calls.select("caller_fqn")).distinct()
+    return graph.descendants(targets, v.inherits(), calls, v.symbols()).select("target", "fqn", "rel", "resolved", "truncated")
 
 
 @query(f"""WITH {with_views("calls", "symbols")}, t AS (SELECT DISTINCT fqn AS target, regexp_extract(fqn, '([^.:]*)$', 1) AS leaf FROM v_symbols), e AS (SELECT DISTINCT target, caller_fqn AS fqn FROM t JOIN v_calls ON callee_name = leaf),
   k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY fqn) AS k, count(*) OVER (PARTITION BY target) > 40 AS truncated FROM e) SELECT target, fqn, truncated FROM k WHERE k <= 40""")
 def lineage_callers(v: View) -> DataFrame:
-    return _lineage_callers(v, v.calls())
-
-
-@query()
-def lineage_callers_whole(v: View) -> DataFrame:
-    return _lineage_callers(v, v.all_calls())
+    calls = v.calls()
+    return graph.callers(v.symbols().select(F.col("fqn").alias("target")).distinct(), calls).select("target", "fqn", "truncated")
 
 
 _MAP = f"""WITH {with_views("symbols", "calls", "entries", "anchors", "archived")}, t AS (SELECT DISTINCT file FROM v_symbols UNION SELECT file FROM v_anchors),
@@ -505,19 +484,11 @@ _MAP = f"""WITH {with_views("symbols", "calls", "entries", "anchors", "archived"
   SELECT * FROM s UNION ALL SELECT target, part, key, detail, total FROM c WHERE k <= 100 UNION ALL SELECT target, part, key, detail, total FROM m WHERE k <= 20"""
 
 
-def _map_file(v: View, calls: DataFrame) -> DataFrame:
-    targets = v.symbols().select(F.col("file").alias("target")).union(v.anchors().select("file")).distinct()
-    return graph.map_files(targets, v.symbols(), calls, v.entries(), v.anchors(), v.archived())
-
-
 @query(_MAP)
 def map_file(v: View) -> DataFrame:
-    return _map_file(v, v.calls())
-
-
-@query()
-def map_file_whole(v: View) -> DataFrame:
-    return _map_file(v, v.all_calls())
+    calls = v.calls()
+    targets = v.symbols().select(F.col("file").alias("target")).union(v.anchors().select("file")).distinct()
+    return graph.map_files(targets, v.symbols(), calls, v.entries(), v.anchors(), v.archived())
 
 
 @query(f"""WITH {with_views("symbols")}, b AS (SELECT fqn AS target, * FROM v_symbols UNION ALL SELECT name AS target, * FROM v_symbols WHERE name <> fqn) SELECT target, fqn, kind, file FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY fqn, id) AS k FROM b) WHERE k <= 20""")
@@ -607,9 +578,10 @@ def stream_lww(v: View) -> DataFrame:
     return feeds.run_to_table(feeds.lww(changes, F.lit("2024-01-20 00:00:00"), stamp="ts")).select("id", "body", "ts")
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
 def stream_counts(v: View) -> DataFrame:
-    return feeds.run_to_table(feeds.counted(_event_stream(v))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """The windows that the watermark has closed."""
+    return feeds.run_to_table(feeds.counted(_event_stream(v)), mode="append").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -60,6 +61,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of plans, broadcasts and generated classes that nothing refers to any more, on the driver.
+
+    An iteration leaves some of each behind with every round, and the driver's
+    process otherwise keeps all the memory it has once had.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder."""
     jvm = spark.sparkContext._jvm
