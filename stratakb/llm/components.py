@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import drop_path, scratch, write
+from ..runtime import drop_path, release, scratch, write
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -46,6 +46,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         path = new
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
+            release(spark)
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = mark
         now = _small(_large(now))
