@@ -10,6 +10,9 @@ _SPLIT_KEEP_UNDERSCORE = r"[^\p{IsAlphabetic}\p{N}_]+"
 # The words that negate.
 NEGATIONS = ["no", "not", "never", "cannot", "without", "disable", "disabled"]
 
+# The extensions that make a word a path.
+PATH_EXTENSIONS = "php js ts tsx jsx py rs go rb java cs css html json md yml yaml toml twig scss sass vue svelte sh sql".split()
+
 
 def fts_terms(text: Column, limit: int = 12) -> Column:
     """The first query terms: split but for _, at least 3 bytes long."""
@@ -79,9 +82,8 @@ def preview(text: Column, chars: int = 120) -> Column:
 
 def paths_in(text: Column) -> Column:
     """Path-like candidates: backtick spans first, then words; a slash or a known extension, at most 256 bytes."""
-    # The extensions that make a word a path.
-    ext = r"\.(?:rs|py|js|ts|tsx|jsx|php|go|rb|java|c|cc|cpp|h|hpp|cs|sh|md|toml|json|yaml|yml|sql|html|css)$"
-    spans = F.regexp_extract_all(text, F.lit("`([^`\n]+)`"), F.lit(1))
-    words = F.transform(F.split(text, r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{IsAlphabetic}\p{N}./_-]+|[^\p{IsAlphabetic}\p{N}/_-]+$", ""))
-    like = lambda w: (w.contains("/") | w.rlike(ext)) & (F.octet_length(w) <= 256) & ~w.contains(" ") & ~w.contains("://")
+    ext = rf"\.(?:{'|'.join(PATH_EXTENSIONS)})$"
+    spans = F.transform(F.regexp_extract_all(text, F.lit("`([^`]*)`"), F.lit(1)), lambda w: F.regexp_replace(w, r"^\s+|\s+$", ""))
+    words = F.transform(F.split(text, r"\s+"), lambda w: F.regexp_replace(w, "^[^A-Za-z0-9/._-]+|[^A-Za-z0-9/._-]+$", ""))
+    like = lambda w: (w.contains("/") | w.rlike(ext)) & (F.octet_length(w) <= 256)
     return F.array_distinct(F.filter(F.concat(spans, words), like))

@@ -559,12 +559,17 @@ def chunk_markdown(v: View) -> DataFrame:
 @query()
 def seed_notes(v: View) -> DataFrame:
     notes = v.raw("documents").select(F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
-    return markdown.seed_outcomes(markdown.seeds(notes), v.entries()).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    found = markdown.seeds(notes)
+    return markdown.seed_outcomes(found, v.entries()).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_EXT = "|".join(text.PATH_EXTENSIONS)
+
+
+@query(f"""WITH t AS (SELECT page_id, regexp_replace(html, '[<>"]', ' ', 'g') AS t FROM pages), c AS (SELECT page_id, list_concat([regexp_replace(x, '^\\s+|\\s+$', '', 'g') for x in regexp_extract_all(t, '`([^`]*)`', 1)], [regexp_replace(w, '^[^A-Za-z0-9/._-]+|[^A-Za-z0-9/._-]+$', '', 'g') for w in regexp_split_to_array(t, '\\s+')]) AS c FROM t)
+  SELECT page_id, array_to_string(list_sort(list_distinct([w for w in c if (contains(w, '/') OR regexp_matches(w, '\\.({_EXT})$')) AND octet_length(encode(w)) <= 256])), ',') AS paths FROM c""")
 def paths_in_text(v: View) -> DataFrame:
-    return v.raw("pages").select("page_id", F.array_join(text.paths_in(F.regexp_replace("html", "[<>\"]", " ")), ",").alias("paths"))
+    return v.raw("pages").select("page_id", F.array_join(F.array_sort(text.paths_in(F.regexp_replace("html", "[<>\"]", " "))), ",").alias("paths"))
 
 
 def _event_stream(v: View) -> DataFrame:

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 MAX_PARSE = 512 * 1024
 TOP = "<file>"
 
@@ -89,7 +91,7 @@ _C = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
 _Q = r'"(?:\\.|[^"\\\n])*"?|' + r"'(?:\\.|[^'\\\n])*'?"
 MASKS = {
     "php": rf"{_C}|#(?!\[)[^\n]*|{_Q}", "javascript": rf"{_C}|`(?:\\.|[^`\\])*`?|{_Q}", "typescript": rf"{_C}|`(?:\\.|[^`\\])*`?|{_Q}", "cpp": rf"{_C}|{_Q}", "rust": rf'{_C}|"(?:\\.|[^"\\])*"?|' + r"'(?:\\.|[^'\\\n])'",
-    "go": rf"{_C}|`[^`]*`?|{_Q}", "java": rf"{_C}|{_Q}", "csharp": rf"{_C}|{_Q}", "ruby": rf"#[^\n]*|{_Q}", "bash": rf"(?:(?<=\s)|(?<![^\n]))#[^\n]*|{_Q}",
+    "go": rf"{_C}|`[^`]*`?|{_Q}", "java": rf"{_C}|{_Q}", "c_sharp": rf"{_C}|{_Q}", "ruby": rf"#[^\n]*|{_Q}", "bash": rf"(?:(?<=\s)|(?<![^\n]))#[^\n]*|{_Q}",
 }
 _N = r"([A-Za-z_$][\w$]*)"
 DECLS = {
@@ -99,19 +101,38 @@ DECLS = {
     "rust": [(rf"\b(?:struct|enum|trait)\s+{_N}", "class"), (rf"\bfn\s+{_N}", "function"), (rf"\b(?:const|static)\s+(?:mut\s+)?{_N}\s*:", "const"), (r"\bimpl\b(?:\s*<[^{;]*?>)?\s+(?:[^{;]*?\bfor\s+)?(?:\w+::)*(\w+)[^{;]*(?=\{)", "scope")],
     "go": [(rf"\bfunc\s+\([^)]*\)\s*{_N}", "method"), (rf"\bfunc\s+{_N}", "function"), (rf"\btype\s+{_N}\s+(?=\w|\[|\*|\{{)", "class")],
     "java": [(rf"\b(?:class|interface)\s+{_N}", "class"), (rf"[\w>\]]\s+{_N}\s*\([^;{{}}()]*\)\s*(?:throws[^{{;]*)?(?=\{{)", "method")],
-    "csharp": [(rf"\b(?:class|interface|struct)\s+{_N}", "class"), (rf"\bnamespace\s+([\w.]+)\s*(?=\{{)", "scope"), (rf"[\w>\]?]\s+{_N}\s*(?:<[^>]*>)?\([^;{{}}()]*\)\s*(?:where[^{{;]*)?(?=\{{|=>)", "method")],
+    "c_sharp": [(rf"\b(?:class|interface|struct)\s+{_N}", "class"), (rf"\bnamespace\s+([\w.]+)\s*(?=\{{)", "scope"), (rf"[\w>\]?]\s+{_N}\s*(?:<[^>]*>)?\([^;{{}}()]*\)\s*(?:where[^{{;]*)?(?=\{{|=>)", "method")],
     "ruby": [(r"^[ \t]*(?:class|module)\s+(?:\w+::)*(\w+)", "class"), (r"^[ \t]*def\s+(?:self\.)?(\w+[?!=]?)", "function")],
     "bash": [(r"^[ \t]*(?:function\s+)?([A-Za-z_][\w-]*)\s*\(\)\s*(?=\{)", "function"), (r"^[ \t]*function\s+([A-Za-z_][\w-]*)\s*(?=\{)", "function")],
 }
 DECLS["typescript"] = [*DECLS["javascript"][:1], (rf"\babstract\s+class\s+{_N}", "class"), *DECLS["javascript"][1:2], (DECLS["javascript"][2][0].replace("static|async", "public|private|protected|readonly|static|async").replace(r"\s*(?=\{)", r"\s*(?::[^{;=]*)?(?=\{)"), "method")]
 IMPORTS = {
     "php": r"^\s*use\s+([^;(]+);", "javascript": r"\bimport\b[^;'\"]*['\"]([^'\"]+)['\"]|\brequire\(\s*['\"]([^'\"]+)['\"]", "typescript": r"\bimport\b[^;'\"]*['\"]([^'\"]+)['\"]", "cpp": r"^\s*#\s*include\s*[<\"]([^>\"]+)[>\"]", "rust": r"\buse\s+([^;]+);",
-    "go": r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([^\"\n]+)\"\s*$", "java": r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;", "csharp": r"^\s*using\s+([\w.=\s]+);", "ruby": r"^\s*require(?:_relative)?\s*\(?\s*['\"]([^'\"]+)['\"]", "bash": r"^\s*(?:source|\.)\s+[\"']?([^\s\"';]+)",
+    "go": r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([^\"\n]+)\"\s*$", "java": r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;", "c_sharp": r"^\s*using\s+([\w.=\s]+);", "ruby": r"^\s*require(?:_relative)?\s*\(?\s*['\"]([^'\"]+)['\"]", "bash": r"^\s*(?:source|\.)\s+[\"']?([^\s\"';]+)",
 }
 _CALLED = re.compile(r"([A-Za-z_$][\w$]*[?!]?)\s*(?:::<[^>(]*>)?\(")
 _WORDS = frozenset("if for while switch catch return function fn func sizeof match elif else new typeof super array list print echo foreach using lock fixed when with and or not in do await yield assert defined unless until case".split())
 
 
+#: Calls without parentheses: shell commands, and in Ruby methods of a receiver and commands with an argument.
+COMMANDS = {
+    "bash": [r"(?:^|[;&|(){}!]|\b(?:then|do|else|elif|if|while|until)\b)[ \t]*([A-Za-z_./][\w./:+-]*)(?![\w./:+-]|=|\[|\+=|[ \t]*\(\))"],
+    "ruby": [r"\.([a-z_]\w*[?!]?)(?![\w?!]|[ \t]*(?:\(|=(?!=)))", r"(?:^|;|\b(?:then|do|else|return|and|or|not)\b)[ \t]*([a-z_]\w*[?!]?)[ \t]+"],
+}
+KEYWORDS = {
+    "bash": frozenset("if then else elif fi for while until do done case esac in function select time source . local export readonly declare return".split()) - {"export", "local", "readonly", "declare", "return"},
+    "ruby": frozenset("if unless while until for case when then else elsif end def class module begin rescue ensure do return yield and or not in super self nil true false require require_relative include prepend extend new".split()) - {"new"},
+}
+
+
+def _argument(src: str, at: int) -> bool:
+    """Does what follows a word in Ruby source start an argument, not an operator or a modifier?"""
+    rest = src[at : at + 80].lstrip(" \t")
+    if re.match(r"(?:if|unless|while|until|and|or|do|then|rescue|in)\b", rest):
+        return False
+    return bool(re.match(r"""[\w"':@$\[{~!]|[-*&][^\s=&*]|->""", rest)) and not rest.startswith("!=")
+
+
 def _mask(lang: str, src: str) -> str:
     return re.sub(MASKS[lang], lambda m: re.sub(r"[^\n]", " ", m[0]), src, flags=re.S)
 
@@ -149,7 +170,7 @@ def _bases(lang: str, head: str) -> list[tuple[str, str]]:
         for word, rel in (("extends", "extends"), ("implements", "implements")):
             m = re.search(rf"\b{word}\s+(.*?)(?=\bextends\b|\bimplements\b|\{{|$)", head, re.S)
             out += [(b, rel) for b in split(m[1])] if m else []
-    elif lang in ("cpp", "csharp", "rust") and (m := re.search(r"(?<!:):(?!:)(.*)", head, re.S)):
+    elif lang in ("cpp", "c_sharp", "rust") and (m := re.search(r"(?<!:):(?!:)(.*)", head, re.S)):
         plain = re.sub(r"\b(?:public|private|protected|virtual)\b", "", m[1].split("where")[0])
         out += [(b, "extends") for b in (split(plain.replace("+", ",")) if lang == "rust" else split(plain)) if re.fullmatch(r"\w+", b)]
     elif lang == "ruby" and (m := re.search(r"<\s*([\w:]+)", head)):
@@ -193,12 +214,12 @@ def _scanned(lang: str, src: str) -> Facts:
         if m[1] not in _WORDS and m.start(1) not in heads:
             around = [x for x in spans if x[0] < m.start() < x[1]]
             out.calls.append((around[-1][2] if around else TOP, m[1]))
-    if lang == "bash":
-        names = {s.name for s in out.symbols}
-        for m in re.finditer(r"(?:^|[;&|{(]|\bthen\b|\bdo\b)[ \t]*([A-Za-z_][\w-]*)(?=[ \t;\n)|&]|$)", code, re.M):
-            if m[1] in names and m.start(1) not in heads:
-                around = [x for x in spans if x[0] < m.start() < x[1]]
-                out.calls.append((around[-1][2] if around else TOP, m[1]))
+    for pattern in COMMANDS.get(lang, ()):
+        for m in re.finditer(pattern, code, re.M):
+            if m[1] in KEYWORDS[lang] or m.start(1) in heads or lang == "ruby" and not m[0].startswith(".") and not _argument(src, m.end(1)):
+                continue
+            around = [x for x in spans if x[0] < m.start(1) < x[1]]
+            out.calls.append((around[-1][2] if around else TOP, m[1]))
     out.imports = [next(g for g in m.groups() if g).strip() for m in re.finditer(IMPORTS[lang], src, re.M)]
     return out
 
@@ -224,7 +245,7 @@ def body_form(lang: str, name: str, body: str) -> str:
             return " ".join(out)
         except (tokenize.TokenError, IndentationError, SyntaxError):
             pass
-    comment = re.compile({"ruby": r"#[^\n]*", "bash": r"(?<=\s)#[^\n]*"}.get(lang, _C), re.S)
+    comment = re.compile({"ruby": r"#[^\n]*", "bash": r"(?<=\s)#[^\n]*", "php": rf"{_C}|#(?!\[)[^\n]*"}.get(lang, _C), re.S)
     parts = re.split(rf"({_Q})", body)
     code = "".join(p if i % 2 else comment.sub(" ", p) for i, p in enumerate(parts))
     return " ".join(t for t in re.findall(r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'|\w+|[^\w\s]', code) if t != name)
@@ -269,13 +290,13 @@ INDEXED = (
 
 
 def index(tree: DataFrame) -> dict[str, DataFrame]:
-    """tree (path, content binary, lang, mtime_ns) -> the five derived tables. Materialize the input's result if more than one is used."""
+    """tree (path, content binary, lang, mtime_ns) -> the five derived tables. Each file is read and parsed once, for all of them."""
 
     def over(paths: pd.Series, contents: pd.Series, langs: pd.Series) -> pd.DataFrame:
         rows = [index_one(p, bytes(c) if c is not None else b"", g if isinstance(g, str) else None) for p, c, g in zip(paths, contents, langs, strict=True)]
         return pd.DataFrame({k: [r[k] for r in rows] for k in ("files", "symbols", "imports", "calls", "inherits")})
 
-    got = tree.select("mtime_ns", F.pandas_udf(over, INDEXED)("path", "content", "lang").alias("x"))
+    got = materialize(tree.select("mtime_ns", F.pandas_udf(over, INDEXED)("path", "content", "lang").alias("x")), "parsed")
     out = {k: got.select(F.explode(f"x.{k}").alias("r")).select("r.*") for k in ("symbols", "imports", "calls", "inherits")}
     out["files"] = got.select("mtime_ns", F.explode("x.files").alias("r")).select("r.path", "r.lang", "mtime_ns", "r.size", "r.hash", "r.parse_ok")
     out["symbols"] = out["symbols"].withColumn("id", F.xxhash64("file", "ordinal"))

@@ -14,8 +14,8 @@ from ..functions.hashing import is_minified
 from .languages import detect
 
 MAX_FILE = 8 * 1024 * 1024
-# Directories of generated or foreign files.
-SKIPPED = ".git .hg .svn node_modules vendor target dist build out .next .nuxt .cache __pycache__ .venv venv .tox .mypy_cache .pytest_cache .idea .vscode coverage .gradle".split()
+# Directories of generated or foreign files; the last one is our own.
+SKIPPED = "node_modules vendor target dist build .git __pycache__ .venv venv .mypy_cache .pytest_cache .ruff_cache .tox Pods .gradle .next .nuxt .svelte-kit bower_components coverage .terraform .stratakb".split()
 
 
 def ignore_pattern(line: str) -> tuple[re.Pattern, bool] | None:

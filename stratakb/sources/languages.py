@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # The grammars and their extensions.
 EXTENSIONS = {
-    "php": "php phtml", "javascript": "js jsx mjs cjs", "typescript": "ts tsx mts cts", "python": "py pyi", "rust": "rs", "cpp": "c h cc cpp cxx hpp hh", "go": "go", "ruby": "rb rake", "java": "java", "bash": "sh bash", "csharp": "cs",
+    "php": "php", "javascript": "js mjs cjs jsx", "typescript": "ts tsx mts cts", "python": "py", "rust": "rs", "cpp": "cpp cc cxx hpp hh hxx h c inl", "go": "go", "java": "java", "ruby": "rb rake", "c_sharp": "cs", "bash": "sh bash",
 }
 
 

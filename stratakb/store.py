@@ -9,6 +9,7 @@ nulls in them.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,11 +49,11 @@ class Store:
         old = self._pointer()
         new = {"version": old["version"] + 1, "code": VERSION, "tables": dict(old["tables"])}
         for name, df in tables.items():
-            at = f"{name}/v{new['version']}"
+            at = f"{name}/v{new['version']}-{uuid.uuid4().hex[:12]}"  # another writer's snapshot of the same version is another folder
             cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name]]
-            df.select(*cols).write.mode("overwrite").parquet(f"{self.path}/{at}")
+            df.select(*cols).write.parquet(f"{self.path}/{at}")
             new["tables"][name] = at
-        draft, final = self._Path(f"{self.path}/.draft-{new['version']}"), self._Path(f"{self.path}/manifest-{new['version']}")
+        draft, final = self._Path(f"{self.path}/.draft-{new['version']}-{uuid.uuid4().hex[:12]}"), self._Path(f"{self.path}/manifest-{new['version']}")
         stream = self._fs.create(draft, True)
         stream.write(bytearray(json.dumps(new, sort_keys=True).encode()))
         stream.close()

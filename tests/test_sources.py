@@ -14,7 +14,7 @@ CODE = {
     "go": ('package p\nimport "fmt"\ntype T struct {\n\tBase\n}\nfunc (t T) Run() { fmt.Println(go1()) }\nfunc top() { helper() }\n', {("T", "class"), ("Run", "method"), ("top", "function")}, "fmt", ("top", "helper"), {("T", "Base", "embeds")}),
     "ruby": ("require 'json'\nclass A < B\n  include M\n  def run\n    go(1)\n  end\nend\ndef top\nend\n", {("A", "class"), ("run", "method"), ("top", "function")}, "json", ("run", "go"), {("A", "B", "extends"), ("A", "M", "mixin")}),
     "java": ("import a.b.C;\nclass A extends B implements D {\n  int run(int x) { return go(x); }\n}\n", {("A", "class"), ("run", "method")}, "a.b.C", ("run", "go"), {("A", "B", "extends"), ("A", "D", "implements")}),
-    "csharp": ("using System.IO;\nclass A : B {\n  int Run(int x) { return Go(x); }\n}\n", {("A", "class"), ("Run", "method")}, "System.IO", ("Run", "Go"), {("A", "B", "extends")}),
+    "c_sharp": ("using System.IO;\nclass A : B {\n  int Run(int x) { return Go(x); }\n}\n", {("A", "class"), ("Run", "method")}, "System.IO", ("Run", "Go"), {("A", "B", "extends")}),
     "bash": ("source lib.sh\nrun() {\n  top\n}\nfunction top {\n  echo hi\n}\n", {("run", "function"), ("top", "function")}, "lib.sh", ("run", "top"), set()),
 }
 
@@ -27,14 +27,34 @@ def test_extraction(lang):
     assert imported in f.imports and call in f.calls and {(c, b, r) for c, _, b, r in f.inherits} == inherits
 
 
-@pytest.mark.parametrize("lang", ["python", "java"])
+HASHED = {  # a body, the same with comments and white space, the comment's own mark
+    "python": ("def f(x):\n    return x + 1\n", "def f(x):\n    # why\n\n    return x  +  1\n"),
+    "java": ("int f(int x) { return x + 1; }", "int f(int x) {\n  // why\n  return x+1; /* so */\n}"),
+    "php": ("function f($x) { return $x + 1; }", "function f($x) {\n  # why\n  // and\n  return $x+1; /* so */\n}"),
+    "javascript": ("function f(x) { return x + 1; }", "function f(x) {\n  // why\n  return x+1;\n}"),
+    "rust": ("fn f(x: u8) -> u8 { x + 1 }", "fn f(x: u8) -> u8 {\n  // why\n  x+1\n}"),
+    "go": ("func f(x int) int { return x + 1 }", "func f(x int) int {\n\t// why\n\treturn x+1\n}"),
+    "cpp": ("int f(int x) { return x + 1; }", "int f(int x) {\n  /* why */ return x+1;\n}"),
+    "ruby": ("def f(x)\n  x + 1\nend", "def f(x)\n  # why\n  x  + 1\nend"),
+    "bash": ("f() {\n  echo 1\n}", "f() {\n  # why\n  echo   1\n}"),
+}
+
+
+@pytest.mark.parametrize("lang", HASHED)
 def test_body_hash_properties(lang):
-    a = {"python": "def f(x):\n    return x + 1\n", "java": "int f(int x) { return x + 1; }"}[lang]
-    cosmetic = {"python": "def f(x):\n    # why\n\n    return x  +  1\n", "java": "int f(int x) {\n  // why\n  return x+1;\n}"}[lang]
+    a, cosmetic = HASHED[lang]
     form = lambda name, s: extract.body_form(lang, name, s)
     assert form("f", a) == form("f", cosmetic) == form("g", a.replace("f(", "g(")) != form("f", a.replace("1", "2"))
 
 
+def test_calls_without_parentheses():
+    ruby = "def run\n  load 1\n  item.save\n  total = count + 1\n  puts 'x' if ready\n  list.each do |x|\n    x.show(2)\n  end\n  a.b = 3\nend\n"
+    assert {n for _, n in extract.extract("ruby", ruby).calls} == {"load", "save", "puts", "each", "show"}
+    bash = "run() {\n  mkdir -p out\n  X=1\n  if grep -q a b; then\n    rm b | sort\n  fi\n}\nrun\n"
+    f = extract.extract("bash", bash)
+    assert {n for _, n in f.calls} == {"mkdir", "grep", "rm", "sort", "run"} and ("run", "mkdir") in f.calls
+
+
 def test_unreadable_files():
     assert extract.index_one("a.py", b"\xff\xfe", "python")["files"][0][1] is None
     assert extract.index_one("a.py", b"def (", "python")["files"][0][4] is False
@@ -61,7 +81,7 @@ def test_ignore():
     lines = ["*.log", "/build", "docs/**/x.md", "!keep.log", "tmp/"]
     got = {p: files.ignored(p, lines) for p in ("a.log", "d/a.log", "d/keep.log", "build/x", "d/build/x", "docs/x.md", "docs/a/b/x.md", "tmp/a", "d/tmp/a", "tmp")}
     assert got == {"a.log": True, "d/a.log": True, "d/keep.log": False, "build/x": True, "d/build/x": False, "docs/x.md": True, "docs/a/b/x.md": True, "tmp/a": True, "d/tmp/a": True, "tmp": False}
-    assert files.git_status_paths(" M b.py\0?? a.py\0R  n.py\0old.py\0") == [".py", "a.py", "b.py", "n.py"] or "a.py" in files.git_status_paths(" M b.py\0?? a.py\0")
+    assert files.git_status_paths(" M b.py\0?? a.py\0?? a.py\0") == ["a.py", "b.py"]
 
 
 def test_lifecycle(spark, tmp_path):
