@@ -34,6 +34,14 @@ def refused(new: DataFrame, entries: DataFrame, anchors: DataFrame, *, limit: in
     return j.where(near_duplicate(F.col("x"), F.col("y"))).groupBy("query_id").agg(F.min("id").alias("twin"))
 
 
+def twins_within(new: DataFrame) -> DataFrame:
+    """(query_id, twin): new bodies that restate one of a smaller id on a file of both."""
+    f = new.select("query_id", F.array_distinct("files").alias("files"), features(F.col("task")).alias("f")).withColumn("file", F.explode("files"))
+    x, y = f.alias("x"), f.alias("y")
+    j = x.join(y, (F.col("x.file") == F.col("y.file")) & (F.col("y.query_id") < F.col("x.query_id")))
+    return j.where(near_duplicate(F.col("x.f"), F.col("y.f"))).groupBy(F.col("x.query_id").alias("query_id")).agg(F.min("y.query_id").alias("twin"))
+
+
 def surfaced(new: DataFrame, entries: DataFrame, anchors: DataFrame, *, limit: int = 3) -> DataFrame:
     """(query_id, id, preview, conflict): what the best three matches may duplicate or contradict."""
     pairs = candidates(new, entries, anchors, limit=limit)

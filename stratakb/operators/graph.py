@@ -88,6 +88,17 @@ def map_symbols(targets: DataFrame, symbols: DataFrame) -> DataFrame:
     return first_k(by.join(targets.select("target").distinct(), "target", "left_semi"), "target", ["fqn", "id"], 20).drop("id")
 
 
+def symbol_details(targets: DataFrame, symbols: DataFrame, calls: DataFrame, entries: DataFrame, anchors: DataFrame, archived: DataFrame) -> DataFrame:
+    """(target, fqn, kind, file, start_line, end_line, calls, calls_total, memories) of the symbols of map_symbols: the first 100 names each calls, the latest 20 memories on it."""
+    found = map_symbols(targets, symbols).join(symbols.select("fqn", "file", "kind", "start_line", "end_line"), ["fqn", "file", "kind"])
+    wanted = found.select("fqn").distinct()
+    called = calls.select(F.col("caller_fqn").alias("fqn"), "callee_name").join(wanted, "fqn", "left_semi").distinct()
+    names = first_k(called, "fqn", ["callee_name"], 100).groupBy("fqn").agg(F.array_sort(F.collect_list("callee_name")).alias("calls")).join(called.groupBy("fqn").agg(F.count(F.lit(1)).alias("calls_total")), "fqn")
+    on = anchors.select(F.col("symbol_fqn").alias("fqn"), F.col("entry_id").alias("id")).join(wanted, "fqn", "left_semi").distinct().join(visible_memories(entries, archived), "id").select("fqn", "id", "kind", "status")
+    held = first_k(on, "fqn", [F.desc("id")], 20).groupBy("fqn").agg(F.reverse(F.array_sort(F.collect_list(F.struct("id", "kind", "status")))).alias("memories"))
+    return found.join(names, "fqn", "left").join(held, "fqn", "left").select("target", "fqn", "kind", "file", "start_line", "end_line", "calls", F.coalesce("calls_total", F.lit(0)).alias("calls_total"), "memories")
+
+
 def affected(changed: DataFrame, symbols: DataFrame, entries: DataFrame, anchors: DataFrame, archived: DataFrame) -> DataFrame:
     """(part, id, file, kind, status) for changed (file): up to 50 symbols of each file and every visible memory on it (decisions constrain)."""
     hit = first_k(symbols.join(changed, "file", "left_semi"), "file", ["fqn", "id"], 50).select(F.lit("symbol").alias("part"), F.col("fqn").alias("id"), "file", "kind", F.lit(None).cast("string").alias("status"))

@@ -127,10 +127,15 @@ def cost(packs: DataFrame, anchors: DataFrame, files: DataFrame) -> DataFrame:
     return served.join(read, "query_id", "left").select("query_id", "served", (F.coalesce("tokens", F.lit(0)) + SEARCH_OVERHEAD).cast("long").alias("baseline"), F.coalesce("avoided", F.lit(0)).cast("long").alias("reads_avoided"))
 
 
-def wire(packs: DataFrame) -> DataFrame:
-    """The compact items: defaults are null, confidence has 2 digits, on is the day."""
+def wire(packs: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """The compact items: defaults are null, confidence has 2 digits, on is the day; with anchors, where each item is anchored."""
     some = lambda c: F.when(F.size(c) > 0, F.col(c))
-    return packs.select("query_id", "place", "id", "kind", "body", F.round("conf", 2).alias("conf"), F.when(F.col("source") != "explicit", F.col("source")).alias("source"), F.when(F.col("status") != "active", F.col("status")).alias("status"), some("flags").alias("flags"), F.substring("created_at", 1, 10).alias("on"))
+    at = []
+    if anchors is not None:
+        held = anchors.select(F.col("entry_id").alias("id"), "file", F.col("symbol_fqn").alias("symbol")).join(packs.select("id").distinct(), "id")
+        held = held.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("file", "symbol"))).alias("anchors"))
+        packs, at = packs.join(held, "id", "left"), ["anchors"]
+    return packs.select("query_id", "place", "id", "kind", "body", F.round("conf", 2).alias("conf"), F.when(F.col("source") != "explicit", F.col("source")).alias("source"), F.when(F.col("status") != "active", F.col("status")).alias("status"), some("flags").alias("flags"), F.substring("created_at", 1, 10).alias("on"), *at)
 
 
 def omitted_reason(matched: Column, returned: Column, cut: Column) -> Column:

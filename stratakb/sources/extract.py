@@ -116,12 +116,12 @@ _WORDS = frozenset("if for while switch catch return function fn func sizeof mat
 
 #: Calls without parentheses: shell commands, and in Ruby methods of a receiver and commands with an argument.
 COMMANDS = {
-    "bash": [r"(?:^|[;&|(){}!]|\b(?:then|do|else|elif|if|while|until)\b)[ \t]*([A-Za-z_./][\w./:+-]*)(?![\w./:+-]|=|\[|\+=|[ \t]*\(\))"],
+    "bash": [r"(?:^|[;&|(){}])[ \t]*(?:(?:then|do|else|elif|if|while|until|time|!)[ \t]+)*([A-Za-z_./][\w./:+-]*)(?![\w./:+-]|=|\[|\+=|[ \t]*\(\))"],
     "ruby": [r"\.([a-z_]\w*[?!]?)(?![\w?!]|[ \t]*(?:\(|=(?!=)))", r"(?:^|;|\b(?:then|do|else|return|and|or|not)\b)[ \t]*([a-z_]\w*[?!]?)[ \t]+"],
 }
 KEYWORDS = {
-    "bash": frozenset("if then else elif fi for while until do done case esac in function select time source . local export readonly declare return".split()) - {"export", "local", "readonly", "declare", "return"},
-    "ruby": frozenset("if unless while until for case when then else elsif end def class module begin rescue ensure do return yield and or not in super self nil true false require require_relative include prepend extend new".split()) - {"new"},
+    "bash": frozenset("if then else elif fi for while until do done case esac in function select time source . local export readonly declare typeset".split()),
+    "ruby": frozenset("if unless while until for case when then else elsif end def class module begin rescue ensure do return yield and or not in super self nil true false require require_relative include prepend extend".split()),
 }
 
 

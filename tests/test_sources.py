@@ -122,6 +122,71 @@ def test_lifecycle(spark, tmp_path):
     assert e.store.read("entries").count() == 0 and e.store.read("anchors").count() == 0
 
 
+def test_whole_trees(spark, tmp_path):
+    """Settings, ignored files, the first import, one parse for all tables, several anchors, refusals within a call."""
+    import json
+
+    from stratakb.api import Engine
+
+    root = tmp_path / "repo"
+    (root / ".stratakb").mkdir(parents=True)
+    for k in range(40):
+        (root / f"m{k:02}.py").write_text(f"def f{k}(x):\n    return helper(x) + {k}\n")
+    (root / "skip.py").write_text("def hidden():\n    pass\n")
+    (root / "view.tpl").write_text("<?php function shown() { return 1; }")
+    (root / "bad.py").write_text("def (")
+    (root / ".stratakbignore").write_text("skip.py\n")
+    (root / ".stratakb.json").write_text(json.dumps({"extensions": {".tpl": "php"}}))
+    line = {"id": "s1", "kind": "fact", "body": "helpers are shared", "created_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-01T00:00:00Z", "source": "explicit", "confidence": 0.8, "status": "active"}
+    (root / ".stratakb" / "memory.jsonl").write_text(json.dumps(line) + "\n")
+    e = Engine(spark, str(root / "store"), str(root))
+    did = e.index(full=True)
+    assert (did["files"], did["symbols"], did["failed"], did["first_failed"], did["imported"]["added"]) == (42, 41, 1, ["bad.py"], 1)
+    assert "shown" in {r.name for r in e.store.read("symbols").collect()} and "imported" not in e.index(full=True)
+    (root / "m00.py").unlink()
+    swept = e.index()
+    assert (swept["removed"], swept["reindex"], swept["dirty_total"]) == (1, [], 0)
+    schema = "id string, kind string, body string, source string, confidence double, anchors array<struct<file:string,symbol:string>>, evidence_cmd string, evidence_output string, private boolean, origin string, links array<struct<dst:string,rel:string>>"
+    body = "the adder helper clamps inputs above 90 because of overflow"
+    rest = (None, None, False, None, None)
+    new = [
+        ("a1", "fact", body, "explicit", None, [("m01.py", "f1"), ("m02.py", None)], *rest), ("a2", "fact", body, "explicit", None, [("m02.py", None)], *rest), ("a3", "fact", "other words", "explicit", None, [("m01.py", "f1"), ("m02.py", "nothing")], *rest),
+        ("s1", "fact", "y", "explicit", None, None, *rest), ("b1", "fact", "z z z", "explicit", None, None, None, None, False, "o", None), ("b2", "fact", "w w w", "explicit", None, None, None, None, False, "o", None),
+    ]
+    got = {r.id: r.outcome for r in e.remember(spark.createDataFrame(new, schema)).collect()}
+    assert got == {"a1": "stored", "a2": "near_duplicate", "a3": "unknown_symbol", "s1": "id_duplicate", "b1": "stored", "b2": "origin_duplicate"}
+    assert e.store.read("anchors").where("entry_id = 'a1'").count() == 2
+    after = e.remember(spark.createDataFrame([("c1", "fact", body.replace("90", "70"), "explicit", None, [("m01.py", None)], *rest)], schema)).first()
+    assert after.outcome == "stored" and [x.id for x in after.possible_duplicates] == ["a1"] and [x.id for x in after.possible_conflicts] == ["a1"]
+    (root / "m05.py").write_text("def f5(x):\n    return x\n")
+    q = spark.createDataFrame([("q", "adder helper overflow", ["m01.py"], 500, "2024-07-01T00:00:00Z")], "query_id string, task string, working_set array<string>, budget long, now string")
+    items, env = e.recall(q)
+    first = {r.id: r for r in items.collect()}["a1"]
+    assert [(x.file, x.symbol) for x in first.anchors] == [("m01.py", "m01.f1"), ("m02.py", None)]
+    assert (env.first().reindexed_now, env.first().dirty_total, env.first().sweep_failed) == (1, 0, False)
+    shown = e.map(spark.createDataFrame([("f1",)], "target string"))["symbols"].first()
+    assert (shown.start_line, shown.calls, [m.id for m in shown.memories]) == (1, ["helper"], ["a1"])
+    assert e.ledger_session().first().recalls == 1
+    (root / ".stratakb.json").write_text("{")
+    with pytest.raises(ValueError):
+        e.index(full=True)
+    assert e.index()["dirty_total"] == 0
+
+
+def test_two_writers(spark, tmp_path):
+    """Of two writers of one version the second fails, and the first one's rows stay."""
+    from stratakb.store import Store
+
+    a, b = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    a.put("k", "0")
+    old = b._pointer()
+    a.put("k", "1")
+    b._pointer = lambda: old
+    with pytest.raises(RuntimeError, match="first"):
+        b.commit(meta=spark.createDataFrame([("k", "2")], "k string, v string"))
+    assert Store(spark, str(tmp_path / "s")).get("k") == "1"
+
+
 def test_status_stream(spark, tmp_path):
     from stratakb.streaming import feeds
 
