@@ -181,9 +181,9 @@ def test_bm25_equals_fts5(spark):
 
 def test_dedup_refuses_restatements_only(spark):
     base = "every worker keeps 12 open sockets since the router drops idle peers after 45 seconds"
-    e = rows(spark, ENTRIES, entry("a", body=base), entry("dead", body=base.replace("50", "70"), status="superseded"))
+    e = rows(spark, ENTRIES, entry("a", body=base), entry("dead", body=base.replace("12", "70"), status="superseded"))
     held = rows(spark, ANCHORS, {"id": 1, "entry_id": "a", "file": "f"}, {"id": 2, "entry_id": "dead", "file": "f"})
-    new = spark.createDataFrame([("n1", base, ["f"]), ("n2", base.replace("50", "200"), ["f"]), ("n3", base, ["g"]), ("n4", base.replace("50", "70"), ["f"])], "query_id string, task string, files array<string>")
+    new = spark.createDataFrame([("n1", base, ["f"]), ("n2", base.replace("12", "200"), ["f"]), ("n3", base, ["g"]), ("n4", base.replace("12", "70"), ["f"])], "query_id string, task string, files array<string>")
     assert {(r.query_id, r.twin) for r in dedup.refused(new, e, held).collect()} == {("n1", "a")}
     assert {(r.query_id, r.id, r.conflict) for r in dedup.surfaced(new, e, held).collect()} == {("n1", "a", False), ("n2", "a", True), ("n4", "a", True)}
 
