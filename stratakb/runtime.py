@@ -58,7 +58,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     write(df, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stratakb_path = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what materialize wrote, once all that reads it is written too."""
+    for df in written:
+        drop_path(df.sparkSession, df._stratakb_path)
 
 
 def release(spark: SparkSession) -> None:
