@@ -18,7 +18,9 @@ that are still in different components, the remaining pairs of a bucket are
 screened in blocks by their signatures, then by their whole multisets, and
 compared exactly; only links leave a block. So a large
 group costs a comparison for each member and no link between different texts
-is left to chance but for the bands' own recall.
+is left to chance but for the bands' own recall. A bucket of m members in
+different components costs m * m / BLOCK rows of features: bounded for each
+task, but quadratic in all.
 
 Defined results: a null or wordless text is a class of its own and stays;
 repeated rows with one id count once; a null id is never grouped; an empty
@@ -34,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import discard, materialize
 from .components import components
 from .decontam import _FOLD
 from .streams import stream_groups
@@ -231,8 +233,9 @@ def _screen(threshold: float):
             return None
         i, j = np.concatenate(first_of), np.concatenate(second_of)
         both = _common(sets, i, j)
-        #: elements that collide in 32 bits change a count by a few; the exact comparison follows
-        ok = both + 2 >= threshold * (n[i] + n[j] - both)
+        #: elements that collide in 32 bits change a count, by ever more in long texts; the exact comparison follows
+        slack = 2 + (n[i] + n[j]).astype(np.float64) ** 2 / 2**30
+        ok = both + slack >= threshold * (n[i] + n[j] - both - slack)
         return pd.DataFrame({"a": np.maximum(ids[i[ok]], ids[j[ok]]), "b": np.minimum(ids[i[ok]], ids[j[ok]])}) if ok.any() else None
 
     return over
@@ -273,6 +276,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     #: the first round's stars stand for its links
     stands = groups.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = components(stands.unionByName(second))
+    discard(members, stars, texts, first, known, rest)
 
     per_class = classes.select("key", F.col("id").alias("class_id")).join(final.withColumnRenamed("node", "class_id"), "class_id", "left").select("key", "class_id", F.coalesce("component", "class_id").alias("group_id"))
     out = sketched.select("id", "key").join(per_class, "key", "left")

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import discard, materialize
 from .components import components
 from .streams import arrow_groups
 
@@ -202,7 +202,7 @@ def _texts(known: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar; b's text is sent once for every HUB_GROUP of its partners."""
+    """The pairs (a, b) whose whole sets are similar, written; b's text is sent once for every HUB_GROUP of its partners."""
     wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     texts = materialize(_texts(known, wanted), "line-texts")
     per = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("per"))
@@ -223,7 +223,9 @@ def verify(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return hubs.unionByName(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(compare, "a long, b long")
+    links = materialize(hubs.unionByName(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(compare, "a long, b long"), "line-links")
+    discard(texts)
+    return links
 
 
 def _to_compare(cols: dict, s: int, e: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -295,14 +297,16 @@ def line_components(known: DataFrame, threshold: float) -> DataFrame:
     listed = known.select("cid", "bands").mapInArrow(_list, "bucket long, cid long, peer tinyint")
     spread = F.when(F.col("peer") == 2, F.xxhash64("cid")).otherwise(F.col("bucket"))
     shared = listed.repartition(spread).sortWithinPartitions("bucket").mapInArrow(_shared, "bucket long, cid long")
-    members = materialize(materialize(shared, "line-shared").join(known.select("cid", "sketch"), "cid"), "line-members")
+    shared = materialize(shared, "line-shared")
+    members = materialize(shared.join(known.select("cid", "sketch"), "cid"), "line-members")
+    discard(shared)
     most = most_differing(threshold)
     hubs = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), F.min("cid").alias("hub"), F.min_by("sketch", "cid").alias("of_hub")).where("many > 1")
     alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("of_hub"))) <= most
     stars = materialize(members.join(hubs, "bucket").where((F.col("cid") != F.col("hub")) & alike).select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(), "line-stars")
-    first = materialize(verify(stars, known, threshold), "line-links")
-
+    first = verify(stars, known, threshold)
     groups = components(first).withColumnRenamed("node", "cid")
+    discard(stars, first)
     placed = members.join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     #: of two members one is the hub: they have been compared
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("many")).where("c0 != c1 and many > 2").select("bucket", F.ceil(F.col("many") / BLOCK).cast("long").alias("chunks"))
@@ -315,7 +319,9 @@ def line_components(known: DataFrame, threshold: float) -> DataFrame:
     second = ordered(near.join(_texts(known, near.select("cid").distinct()), "cid")).mapInArrow(_compare(most, threshold), "a long, b long")
     #: the first round's stars stand for its links
     stands = groups.where("cid != component").select(F.col("cid").alias("a"), F.col("component").alias("b"))
-    return components(stands.unionByName(second)).withColumnRenamed("node", "cid")
+    final = components(stands.unionByName(second)).withColumnRenamed("node", "cid")
+    discard(members, near)
+    return final
 
 
 def line_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
