@@ -147,6 +147,22 @@ def test_near_duplicates(spark):
     assert got == groups(range(len(texts)), links)
 
 
+def test_near_duplicates_of_a_whole_table(spark):
+    """The driver's documents, all pairs that share a shingle by exact multisets."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    bags = {r.doc_id: weighted(bagminhash.normal(r.text).split()) for r in docs.collect()}
+    having, both = {}, Counter()
+    for i, bag in bags.items():
+        for g, n in bag.items():
+            for j, m in having.setdefault(g, []):
+                both[j, i] += min(n, m)
+            having[g].append((i, n))
+    total = {i: sum(b.values()) for i, b in bags.items()}
+    links = [(i, j) for (i, j), n in both.items() if n >= 0.8 * (total[i] + total[j] - n)]
+    got = {x.doc_id: x.group_id for x in bagminhash.near_duplicates(docs).collect()}
+    assert len(links) > 50 and got == groups(bags, links)
+
+
 def test_signature_is_unbiased():
     r, errors = random.Random(6), []
     for _ in range(60):
@@ -226,6 +242,13 @@ def test_held_out_accuracy(spark):
     test = docs.where(held_out())
     got = langid.identify(test, model).collect()
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95
+    assert not any(r.ambiguous for r in got)
+    from pyspark.sql import functions as F
+
+    short = langid.identify(test.withColumn("text", F.substring_index("text", " ", 5)), model)
+    assert short.where("ambiguous").count() <= 0.02 * short.count()
+    foreign = spark.createDataFrame([("Привет мир как дела",), ("日本語の文章です",), ("zażółć gęślą jaźń",)], "text string")
+    assert langid.identify(foreign, model).where("ambiguous").count() >= 2
     net = quality.train(docs, labels)
     scored = quality.classify(test.join(labels, "doc_id"), net).collect()
     assert np.mean([r.predicted == r.quality for r in scored]) > 0.85
