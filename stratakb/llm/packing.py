@@ -34,11 +34,20 @@ from ..runtime import materialize, worker_cache
 CAPACITY, END = 4096, 1
 #: Words whose ids a worker keeps; others are tokenized each time, with the same result.
 CACHE_WORDS = 400_000
+TEXTS = 1024  # texts whose words are looked up together
 #: White space for Python but not for the tokenizer, and characters whose lower case could differ between the two.
 _ODD = re.compile("[\x1c-\x1f]|[^\x00-ɏ]")
 _SPECIAL = "<|"  # what the tokenizer's own tokens begin with: texts that hold it are encoded whole
 
 
+def _odd(t: str) -> bool:
+    try:
+        t.encode("latin-1")
+    except UnicodeEncodeError:
+        return _ODD.search(t) is not None
+    return "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t
+
+
 class Encoder:
     """Ids of whole texts as bytes of little-endian uint32, by a tokenizer whose pieces never cross white space."""
 
@@ -68,20 +77,16 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t and (_ODD.search(t) or _SPECIAL in t) else t.lower().split() if t else [] for t in texts]
+        split = [None if t and (_odd(t) or _SPECIAL in t) else t.lower().split() if t else [] for t in texts]
         new = list(set().union(*(w for w in split if w)).difference(self.known)) if any(split) else []
         extra = self._learn(new) if new else {}
-        if len(self.known) + len(extra) <= CACHE_WORDS:
-            self.known.update(extra)
-            extra = {}
-        get, out = self.known, []
-        for t, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(self._whole(t))
-            elif extra:
-                out.append(b"".join([extra[w] if w in extra else get[w] for w in words]))
-            else:
-                out.append(b"".join(map(get.__getitem__, words)))
+        keep = len(self.known) + len(extra) <= CACHE_WORDS
+        self.known.update(extra)
+        get = self.known.__getitem__
+        out = [self._whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+        if not keep:
+            for w in extra:
+                del self.known[w]
         return out
 
 
@@ -98,8 +103,8 @@ def tokenize(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: s
     def cut(texts: pd.Series) -> pd.Series:
         encoder = worker_cache(("encoder", tokenizer), lambda: Encoder(tokenizer))
         out = []
-        for i in range(0, len(texts), 256):
-            part = [t if isinstance(t, str) else None for t in texts.iloc[i : i + 256]]
+        for i in range(0, len(texts), TEXTS):
+            part = [t if isinstance(t, str) else None for t in texts.iloc[i : i + TEXTS]]
             out += [[{"piece": k, "start": s, "length": n, "ids_crc32": c} for k, s, n, c in pieces_of(ids, capacity, end)] for ids in encoder.encode(part)]
         return pd.Series(out)
 
