@@ -7,8 +7,8 @@ shorter line is its own shingle.
 
 Every class gets ``ROWS * BANDS`` minima over its whole set. A band is a 64-bit
 hash of ``ROWS`` of them; two lines of similarity 0.8 have none of the bands in
-common with a chance of (1 - 0.8 ** ROWS) ** BANDS, 4 in 10,000. The lowest bits
-of 64 minima are a sketch: pairs whose sketches differ by ``SIGMAS`` standard
+common with a chance of (1 - 0.8 ** ROWS) ** BANDS, 4 in 10,000. Low bits of the
+minima are a sketch: pairs whose sketches differ by ``SIGMAS`` standard
 deviations more than those of similarity 0.8 do are not compared further.
 
 Classes with a common band are candidates. Every bucket's hub, its smallest
@@ -52,8 +52,8 @@ from .components import components
 from .streams import arrow_groups
 
 WIDTH, ROWS, BANDS = 5, 5, 20
-SKETCH = 64
-SIGMAS = 4.5
+SKETCH = 128  # bits, as two longs
+SIGMAS = 5
 BLOCK = 256  # members of a bucket compared at once
 HUB_GROUP = 64  # members compared with one copy of their hub's text
 CHARS = 1 << 15  # characters hashed at once: the arrays stay in the processor's cache
@@ -127,8 +127,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def sketches(least: np.ndarray) -> np.ndarray:
-    """The lowest bits of the first SKETCH minima, as int64."""
-    return np.packbits((least[:, :SKETCH] & 1).astype(np.uint8), axis=1, bitorder="little").view("<i8")[:, 0]
+    """The lowest bits of all minima, then the second lowest of the first ones, as rows of two int64."""
+    bits = np.concatenate([least & 1, least[:, : SKETCH - ROWS * BANDS] >> np.uint32(1) & 1], axis=1)
+    return np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view("<i8")
 
 
 def bands(least: np.ndarray) -> np.ndarray:
@@ -147,16 +148,17 @@ def most_differing(threshold: float) -> int:
 
 
 def classes(of: DataFrame) -> DataFrame:
-    """(cid, k1, k2, first, norm, sketch, bands) of each class of lines; cid is a number of its own once written."""
+    """(cid, k1, k2, first, norm, s0, s1, bands) of each class of lines, s0 and s1 its sketch; cid is a number of its own once written."""
 
-    @F.arrow_udf("sketch long, bands array<long>")
+    @F.arrow_udf("s0 long, s1 long, bands array<long>")
     def sign(norms: pa.Array) -> pa.Array:
         least = minima(norms.to_pylist())
         found = pa.ListArray.from_arrays(pa.array(np.arange(len(least) + 1, dtype=np.int32) * BANDS), pa.array(bands(least).ravel()))
-        return pa.StructArray.from_arrays([pa.array(sketches(least)), found], ["sketch", "bands"])
+        sketch = sketches(least)
+        return pa.StructArray.from_arrays([pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy()), found], ["s0", "s1", "bands"])
 
     one = of.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("norm").alias("norm"))
-    return one.withColumn("s", sign("norm")).select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "first", "norm", "s.sketch", "s.bands")
+    return one.withColumn("s", sign("norm")).select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "first", "norm", "s.s0", "s.s1", "s.bands")
 
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,8 +233,9 @@ def verify(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
 def _to_compare(cols: dict, s: int, e: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers (i, j) of the pairs of the block in rows s to e whose turn is here: in different components, sketches alike, this bucket their first in common."""
     left, right = (s + np.flatnonzero(cols["chunk"][s:e] == cols[side][s]) for side in ("x", "y"))
-    sketch, lows = cols["sketch"].view(np.uint64), cols["lows"]
-    ok = (cols["component"][left][:, None] != cols["component"][right][None]) & (np.bitwise_count(sketch[left][:, None] ^ sketch[right][None]) <= most)
+    lows = cols["lows"]
+    differ = sum(np.bitwise_count((cols[k][left][:, None] ^ cols[k][right][None]).view(np.uint64)) for k in ("s0", "s1"))
+    ok = (cols["component"][left][:, None] != cols["component"][right][None]) & (differ <= most)
     i, j = np.nonzero(ok)
     i, j = left[i], right[j]
     here = int(np.argmax(lows[s] == cols["bucket"][s].astype(np.int32)))
@@ -241,7 +244,7 @@ def _to_compare(cols: dict, s: int, e: int, most: int) -> tuple[np.ndarray, np.n
 
 
 def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    cols = {c: batch.column(c).to_numpy() for c in ("bucket", "x", "y", "chunk", "cid", "component", "sketch")}
+    cols = {c: batch.column(c).to_numpy() for c in ("bucket", "x", "y", "chunk", "cid", "component", "s0", "s1")}
     return cols | {"lows": batch.column("lows").flatten().to_numpy().reshape(-1, BANDS)}
 
 
@@ -298,11 +301,11 @@ def line_components(known: DataFrame, threshold: float) -> DataFrame:
     spread = F.when(F.col("peer") == 2, F.xxhash64("cid")).otherwise(F.col("bucket"))
     shared = listed.repartition(spread).sortWithinPartitions("bucket").mapInArrow(_shared, "bucket long, cid long")
     shared = materialize(shared, "line-shared")
-    members = materialize(shared.join(known.select("cid", "sketch"), "cid"), "line-members")
+    members = materialize(shared.join(known.select("cid", "s0", "s1"), "cid"), "line-members")
     discard(shared)
     most = most_differing(threshold)
-    hubs = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), F.min("cid").alias("hub"), F.min_by("sketch", "cid").alias("of_hub")).where("many > 1")
-    alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("of_hub"))) <= most
+    hubs = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), F.min("cid").alias("hub"), F.min_by("s0", "cid").alias("h0"), F.min_by("s1", "cid").alias("h1")).where("many > 1")
+    alike = F.bit_count(F.col("s0").bitwiseXOR(F.col("h0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("h1"))) <= most
     stars = materialize(members.join(hubs, "bucket").where((F.col("cid") != F.col("hub")) & alike).select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(), "line-stars")
     first = verify(stars, known, threshold)
     groups = components(first).withColumnRenamed("node", "cid")
@@ -313,7 +316,7 @@ def line_components(known: DataFrame, threshold: float) -> DataFrame:
     blocks = placed.join(open_, "bucket").withColumn("chunk", F.pmod(F.xxhash64("cid"), "chunks"))
     lows = F.transform("bands", lambda v: F.shiftright(F.shiftleft(v, 32), 32).cast("int"))
     blocks = blocks.join(known.select("cid", lows.alias("lows")), "cid").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    blocks = blocks.select("bucket", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "cid", "component", "sketch", "lows")
+    blocks = blocks.select("bucket", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "cid", "component", "s0", "s1", "lows")
     ordered = lambda df: df.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     near = materialize(ordered(blocks).mapInArrow(_screen(most), blocks.schema), "line-near")
     second = ordered(near.join(_texts(known, near.select("cid").distinct()), "cid")).mapInArrow(_compare(most, threshold), "a long, b long")
