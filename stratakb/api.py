@@ -136,7 +136,7 @@ class Engine:
         if swept is not None:
             number = lambda k: F.lit(len(swept[k]) if isinstance(swept.get(k), list) else swept.get(k)).cast("long")
             out = out.withColumns({"reindexed_now": number("reindex"), "removed": number("removed"), "dirty_total": number("dirty_total"), "dirty": F.array(*[F.lit(p) for p in swept.get("dirty", [])]).cast("array<string>"), "sweep_failed": F.lit("sweep_failed" in swept)})
-        return recall.wire(packs, a), out
+        return recall.wire(packs, e, a), out
 
     def remember(self, new: DataFrame, *, now: str | None = None, force: bool = False) -> DataFrame:
         """Store new memories: (id, kind, body, source, confidence, file, symbol, evidence_cmd, evidence_output, private, origin, links).

@@ -69,19 +69,24 @@ def scored(queries: DataFrame, entries: DataFrame, anchors: DataFrame, links: Da
     hits = materialize(bm25(entries, queries, stem=stem), "hits")
     top = hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "id"))).where(F.col("n") <= CANDIDATES).select("query_id", "id")
     near = queries.select("query_id", F.explode("working_set").alias("file")).join(anchors, "file").select("query_id", F.col("entry_id").alias("id"))
-    candidates = top.union(near).distinct()
-    visible = entries.where("status != 'superseded'").join(archived.select(F.col("entry_id").alias("id")), "id", "left_anti")
+    #: an entry is joined with every query that has it as a candidate: only what its score needs, never its body
+    needs = ["kind", "source", "status", "stale_reason", "evidence_cmd", "confidence", "created_at"]
+    item_cost = (token_estimate(F.col("body")) + ITEM_OVERHEAD).alias("cost")
+    visible = entries.where("status != 'superseded'").select("id", *needs, item_cost).join(archived.select(F.col("entry_id").alias("id")), "id", "left_anti")
+    text_of = hits.select("query_id", "id", "text")
+    rows = materialize(top.union(near).distinct().join(text_of, ["query_id", "id"], "left").join(visible, "id"), "candidates")
+    held = rows.select("query_id", "id").join(anchors.select(F.col("entry_id").alias("id"), "file"), "id")
     around = neighbours(queries, imports).groupBy("query_id").agg(F.collect_set("file").alias("around"))
-    context = queries.select("query_id", "working_set", "budget", "now").join(around, "query_id", "left").withColumn("around", F.coalesce("around", F.array().cast("array<string>")))
-    rows = candidates.join(hits.select("query_id", "id", "text"), ["query_id", "id"], "left").join(visible, "id").join(context, "query_id")
-    files = anchors.select(F.col("entry_id").alias("id"), "file")
-    close = rows.select("query_id", "id", "working_set", "around").join(files, "id").groupBy("query_id", "id").agg(F.max(proximity(F.col("file"), F.col("working_set"), F.col("around"))).alias("near"))
-    rows = rows.join(close, ["query_id", "id"], "left").join(contradictions(links), "id", "left")
+    context = queries.select("query_id", "working_set").join(around, "query_id", "left").withColumn("around", F.coalesce("around", F.array().cast("array<string>")))
+    #: how near a file is to a query is found once, however many entries are anchored there
+    nearness = held.select("query_id", "file").distinct().join(context, "query_id").select("query_id", "file", proximity(F.col("file"), F.col("working_set"), F.col("around")).alias("near"))
+    close = held.join(nearness, ["query_id", "file"]).groupBy("query_id", "id").agg(F.max("near").alias("near"))
+    rows = rows.join(queries.select("query_id", "budget", "now"), "query_id").join(close, ["query_id", "id"], "left").join(contradictions(links), "id", "left")
     text, near = F.coalesce("text", F.lit(0.0)), F.coalesce("near", F.lit(0.0))
     value = score(text, near, F.col("confidence"), F.col("created_at"), F.col("now"), F.col("kind"), F.col("source"), F.col("status"))
     return rows.select(
-        "query_id", "id", "kind", "body", "source", "status", "created_at", "budget", text.alias("text"), near.alias("near"), decayed(F.col("confidence"), F.col("created_at"), F.col("now")).alias("conf"), F.round(value, 9).alias("score"),
-        flags(F.col("status"), F.col("stale_reason"), F.col("source"), F.col("evidence_cmd"), F.col("contradicted")).alias("flags"), (token_estimate(F.col("body")) + ITEM_OVERHEAD).alias("cost"),
+        "query_id", "id", "kind", "source", "status", "created_at", "budget", text.alias("text"), near.alias("near"), decayed(F.col("confidence"), F.col("created_at"), F.col("now")).alias("conf"), F.round(value, 9).alias("score"),
+        flags(F.col("status"), F.col("stale_reason"), F.col("source"), F.col("evidence_cmd"), F.col("contradicted")).alias("flags"), "cost",
     )
 
 
@@ -127,14 +132,15 @@ def cost(packs: DataFrame, anchors: DataFrame, files: DataFrame) -> DataFrame:
     return served.join(read, "query_id", "left").select("query_id", "served", (F.coalesce("tokens", F.lit(0)) + SEARCH_OVERHEAD).cast("long").alias("baseline"), F.coalesce("avoided", F.lit(0)).cast("long").alias("reads_avoided"))
 
 
-def wire(packs: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
-    """The compact items: defaults are null, confidence has 2 digits, on is the day; with anchors, where each item is anchored."""
+def wire(packs: DataFrame, entries: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """The compact items, whose bodies come from entries: defaults are null, confidence has 2 digits, on is the day; with anchors, where each item is anchored."""
     some = lambda c: F.when(F.size(c) > 0, F.col(c))
     at = []
     if anchors is not None:
         held = anchors.select(F.col("entry_id").alias("id"), "file", F.col("symbol_fqn").alias("symbol")).join(packs.select("id").distinct(), "id")
         held = held.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("file", "symbol"))).alias("anchors"))
         packs, at = packs.join(held, "id", "left"), ["anchors"]
+    packs = packs.join(entries.select("id", "body"), "id")
     return packs.select("query_id", "place", "id", "kind", "body", F.round("conf", 2).alias("conf"), F.when(F.col("source") != "explicit", F.col("source")).alias("source"), F.when(F.col("status") != "active", F.col("status")).alias("status"), some("flags").alias("flags"), F.substring("created_at", 1, 10).alias("on"), *at)
 
 

@@ -323,7 +323,7 @@ def recall_floor(v: View) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_SCORED} SELECT p.query_id, place, p.id, kind, round(conf, 2) AS conf, substr(created_at, 1, 10) AS \"on\" FROM packed p JOIN floored f ON f.query_id = p.query_id AND f.id = p.id")
 def recall_packed(v: View) -> DataFrame:
-    return recall.wire(recall.packed(_floored(v))).select("query_id", F.col("place").cast("long").alias("place"), "id", "kind", "conf", "on")
+    return recall.wire(recall.packed(_floored(v)), v.entries()).select("query_id", F.col("place").cast("long").alias("place"), "id", "kind", "conf", "on")
 
 
 _COST = f"""{_SCORED}, cost AS (SELECT p.query_id, CAST(sum(cost) AS BIGINT) AS served FROM packed p JOIN floored f ON f.query_id = p.query_id AND f.id = p.id GROUP BY ALL),
