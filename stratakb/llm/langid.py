@@ -31,6 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import worker_clear
 from .sampling import training_sample
 
 UND = "und"
@@ -129,6 +130,7 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text", margin
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
+        worker_clear()
         out = []
         for i in range(0, len(texts), 128):
             part = list(texts.iloc[i : i + 128])

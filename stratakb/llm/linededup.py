@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import discard, materialize
+from ..runtime import discard, materialize, worker_clear
 from .components import components
 from .streams import arrow_groups
 
@@ -152,6 +152,7 @@ def classes(of: DataFrame) -> DataFrame:
 
     @F.arrow_udf("s0 long, s1 long, bands array<long>")
     def sign(norms: pa.Array) -> pa.Array:
+        worker_clear()
         least = minima(norms.to_pylist())
         found = pa.ListArray.from_arrays(pa.array(np.arange(len(least) + 1, dtype=np.int32) * BANDS), pa.array(bands(least).ravel()))
         sketch = sketches(least)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import sys
 import tempfile
@@ -90,15 +92,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def worker_cache(key, build):
-    """build() once per Python worker process for each key (kind, name); only the latest of a kind is kept.
+def _worker_store() -> dict:
+    """In a module of its own, because functions pickled by value get fresh globals with every task."""
+    return sys.modules.setdefault("_stratakb_worker_cache", types.ModuleType("_stratakb_worker_cache")).__dict__.setdefault("kept", {})
 
-    Kept in a module of its own because functions pickled by value get fresh
-    globals with every task.
-    """
-    store = sys.modules.setdefault("_stratakb_worker_cache", types.ModuleType("_stratakb_worker_cache")).__dict__
+
+def worker_cache(key, build):
+    """build() once per Python worker process for each key (kind, name); only the latest of all is kept."""
+    store = _worker_store()
     kind, name = key
     if store.get(kind, (None,))[0] != name:
-        store.pop(kind, None)  # before the next is built
+        worker_clear()  # before the next is built
         store[kind] = (name, build())
     return store[kind][1]
+
+
+def worker_clear() -> None:
+    """Let go of what worker_cache keeps in this Python worker process, and of its memory.
+
+    Spark uses a worker again for the next step, or leaves it idle: a tokenizer
+    of an earlier step would otherwise take an executor's memory all through
+    steps that don't need it.
+    """
+    store = _worker_store()
+    if store:
+        store.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
