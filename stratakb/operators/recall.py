@@ -13,10 +13,11 @@ from ..functions.timeutil import decayed
 from ..functions.trust import proximity, score
 from ..runtime import materialize
 from ..schemas import CANDIDATES, ITEM_OVERHEAD, RECALL_FLOOR, SEARCH_OVERHEAD
-from .fts import bm25
+from .fts import bounded, ranked, ranks
 
 
 GRAM = 3  # characters of a file stem that are looked up
+STEPS = 1024  # of a text score from 0 to 1
 
 
 def ascii_lower(c: Column) -> Column:
@@ -61,21 +62,39 @@ def contradictions(links: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.array_sort(F.collect_list("other")).alias("contradicted"))
 
 
+def _last_candidate(hits: DataFrame) -> DataFrame:
+    """(query_id, last): rank and id of a query's match number CANDIDATES, or of its last.
+
+    Only matches in the best steps of text that hold so many are sorted.
+    """
+    step = F.floor(F.col("text") * STEPS).alias("step")
+    matched = hits.where("rank is not null").select("query_id", "id", "rank", step)
+    better = Window.partitionBy("query_id").orderBy(F.desc("step"))
+    steps = matched.groupBy("query_id", "step").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(better) - F.col("n"))
+    least = materialize(steps.where(F.col("before") < CANDIDATES).groupBy("query_id").agg(F.min("step").alias("least")), "steps")
+    best = matched.join(bounded(least), "query_id").where("step >= least")
+    best = best.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "id"))).where(F.col("n") <= CANDIDATES)
+    return materialize(best.groupBy("query_id").agg(F.max(F.struct("rank", "id")).alias("last")), "last-candidates")
+
+
 def scored(queries: DataFrame, entries: DataFrame, anchors: DataFrame, links: DataFrame, imports: DataFrame, archived: DataFrame, *, stem: bool = False) -> DataFrame:
     """A row for each (query, visible candidate) with its score, its flags and text score.
 
     queries: query_id, task, working_set array, budget, now.
     """
-    hits = materialize(bm25(entries, queries, stem=stem), "hits")
-    top = hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "id"))).where(F.col("n") <= CANDIDATES).select("query_id", "id")
-    near = queries.select("query_id", F.explode("working_set").alias("file")).join(anchors, "file").select("query_id", F.col("entry_id").alias("id"))
+    working = queries.select("query_id", F.explode("working_set").alias("file"))
+    held = anchors.select(F.col("entry_id").alias("id"), "file")
+    hits = ranked(*ranks(entries, queries, stem=stem, held=held, near=working))
+    last = _last_candidate(hits).withColumnRenamed("query_id", "of")
+    #: all of a query's files, and its best matches up to the last
+    chosen = hits.join(bounded(last), F.col("query_id") == F.col("of"), "left").where(F.col("near") | (F.struct("rank", "id") <= F.col("last")))
+    chosen = chosen.select("query_id", "id", "text")
     #: an entry is joined with every query that has it as a candidate: only what its score needs, never its body
     needs = ["kind", "source", "status", "stale_reason", "evidence_cmd", "confidence", "created_at"]
     item_cost = (token_estimate(F.col("body")) + ITEM_OVERHEAD).alias("cost")
     visible = entries.where("status != 'superseded'").select("id", *needs, item_cost).join(archived.select(F.col("entry_id").alias("id")), "id", "left_anti")
-    text_of = hits.select("query_id", "id", "text")
-    rows = materialize(top.union(near).distinct().join(text_of, ["query_id", "id"], "left").join(visible, "id"), "candidates")
-    held = rows.select("query_id", "id").join(anchors.select(F.col("entry_id").alias("id"), "file"), "id")
+    rows = materialize(chosen.join(visible, "id"), "candidates")
+    held = rows.select("query_id", "id").join(held, "id")
     around = neighbours(queries, imports).groupBy("query_id").agg(F.collect_set("file").alias("around"))
     context = queries.select("query_id", "working_set").join(around, "query_id", "left").withColumn("around", F.coalesce("around", F.array().cast("array<string>")))
     #: how near a file is to a query is found once, however many entries are anchored there
