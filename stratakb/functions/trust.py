@@ -9,6 +9,7 @@ from .timeutil import decayed, recency
 
 # Caps by source, and the score's weights and nudges.
 CAPS = {"verified": 0.95, "mined": 0.5, "explicit": 0.85}
+IN_SET, BY_IMPORT, BESIDE = 1.0, 0.6, 0.3  # in the working set, next to it by import, under the same first path component
 W_TEXT, W_NEAR, W_TRUST, W_RECENT = 0.45, 0.25, 0.20, 0.10
 
 
@@ -30,12 +31,6 @@ def imported_confidence(source: Column, claimed: Column) -> Column:
     return quantized(F.least(F.coalesce(claimed, F.lit(0.5)), import_cap(source)))
 
 
-def proximity(file: Column, working: Column, neighbours: Column) -> Column:
-    """1 in the working set, 0.6 next to it by import, 0.3 under the same first path component, else 0."""
-    first = lambda c: F.split(c, "/")[0]
-    return F.when(F.array_contains(working, file), 1.0).when(F.array_contains(neighbours, file), 0.6).when(F.array_contains(F.transform(working, first), first(file)), 0.3).otherwise(0.0)
-
-
 def score(text: Column, near: Column, confidence: Column, created: Column, now: Column, kind: Column, source: Column, status: Column) -> Column:
     by_kind = F.when(kind.isin("fact", "decision"), 0.05).when(kind == "episode", -0.05).otherwise(0.0)
     by_source = F.when((source == "verified") & (status == "active"), 0.10).when(source == "verified", 0.0).otherwise(-0.05)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import file_stem, token_estimate
 from ..functions.timeutil import decayed
-from ..functions.trust import proximity, score
+from ..functions.trust import BESIDE, BY_IMPORT, IN_SET, score
 from ..runtime import materialize
 from ..schemas import CANDIDATES, ITEM_OVERHEAD, RECALL_FLOOR, SEARCH_OVERHEAD
 from .fts import bounded, ranked, ranks
@@ -32,6 +32,7 @@ def _grams(c: Column) -> Column:
 
 def neighbours(queries: DataFrame, imports: DataFrame) -> DataFrame:
     """(query_id, file): what working files import, and the files whose import names a working file's stem (ASCII case ignored)."""
+    imports = materialize(imports, "imports")  # read three times
     ws = queries.select("query_id", F.explode("working_set").alias("ws")).distinct()
     forward = ws.join(imports, F.col("ws") == F.col("file")).select("query_id", F.col("target").alias("file"))
     stems = ws.select("query_id", ascii_lower(file_stem(F.col("ws"))).alias("stem"))
@@ -44,6 +45,16 @@ def neighbours(queries: DataFrame, imports: DataFrame) -> DataFrame:
     return forward.union(backward).distinct()
 
 
+def nearness(queries: DataFrame, anchors: DataFrame, imports: DataFrame) -> DataFrame:
+    """(query_id, file, near) of the files with proximity to a query: found once for a file, however many entries are anchored there."""
+    working = queries.select("query_id", F.explode("working_set").alias("file"))
+    first = F.split("file", "/")[0].alias("first")
+    beside = anchors.select("file").distinct().select("file", first).join(working.select("query_id", first).distinct(), "first")
+    at = lambda df, near: df.select("query_id", "file", F.lit(near).alias("near"))
+    parts = at(working, IN_SET).union(at(neighbours(queries, imports), BY_IMPORT)).union(at(beside, BESIDE))
+    return parts.groupBy("query_id", "file").agg(F.max("near").alias("near"))
+
+
 def flags(status: Column, reason: Column, source: Column, command: Column, contradicted: Column) -> Column:
     """stale:, reverify:, invalidated: and contradicted-by: in this order."""
     stale = status == "stale"
@@ -88,19 +99,15 @@ def scored(queries: DataFrame, entries: DataFrame, anchors: DataFrame, links: Da
     last = _last_candidate(hits).withColumnRenamed("query_id", "of")
     #: all of a query's files, and its best matches up to the last
     chosen = hits.join(bounded(last), F.col("query_id") == F.col("of"), "left").where(F.col("near") | (F.struct("rank", "id") <= F.col("last")))
-    chosen = chosen.select("query_id", "id", "text")
-    #: an entry is joined with every query that has it as a candidate: only what its score needs, never its body
+    #: dealt out by id once: nearness is found before what else belongs to the entry comes in
+    near = bounded(materialize(nearness(queries, anchors, imports), "nearness"))
+    rows = chosen.select("query_id", "id", "text").join(held, "id", "left").join(near, ["query_id", "file"], "left")
+    rows = rows.groupBy("id", "query_id").agg(F.max("text").alias("text"), F.max("near").alias("near"))
+    #: only what an entry's score needs, never its body
     needs = ["kind", "source", "status", "stale_reason", "evidence_cmd", "confidence", "created_at"]
     item_cost = (token_estimate(F.col("body")) + ITEM_OVERHEAD).alias("cost")
     visible = entries.where("status != 'superseded'").select("id", *needs, item_cost).join(archived.select(F.col("entry_id").alias("id")), "id", "left_anti")
-    rows = materialize(chosen.join(visible, "id"), "candidates")
-    held = rows.select("query_id", "id").join(held, "id")
-    around = neighbours(queries, imports).groupBy("query_id").agg(F.collect_set("file").alias("around"))
-    context = queries.select("query_id", "working_set").join(around, "query_id", "left").withColumn("around", F.coalesce("around", F.array().cast("array<string>")))
-    #: how near a file is to a query is found once, however many entries are anchored there
-    nearness = held.select("query_id", "file").distinct().join(context, "query_id").select("query_id", "file", proximity(F.col("file"), F.col("working_set"), F.col("around")).alias("near"))
-    close = held.join(nearness, ["query_id", "file"]).groupBy("query_id", "id").agg(F.max("near").alias("near"))
-    rows = rows.join(queries.select("query_id", "budget", "now"), "query_id").join(close, ["query_id", "id"], "left").join(contradictions(links), "id", "left")
+    rows = rows.join(visible, "id").join(contradictions(links), "id", "left").join(bounded(queries.select("query_id", "budget", "now")), "query_id")
     text, near = F.coalesce("text", F.lit(0.0)), F.coalesce("near", F.lit(0.0))
     value = score(text, near, F.col("confidence"), F.col("created_at"), F.col("now"), F.col("kind"), F.col("source"), F.col("status"))
     return rows.select(
@@ -111,10 +118,11 @@ def scored(queries: DataFrame, entries: DataFrame, anchors: DataFrame, links: Da
 
 def floored(rows: DataFrame) -> DataFrame:
     """With matched, top, cut_by_floor and relevant: below 0.35 of the top score only flagged items stay."""
-    w = Window.partitionBy("query_id")
-    rows = rows.withColumns({"matched": F.count(F.lit(1)).over(w), "top": F.max("score").over(w)})
-    rows = rows.withColumn("relevant", (F.col("top") <= 0) | (F.col("score") >= RECALL_FLOOR * F.col("top")) | (F.size("flags") > 0))
-    return rows.withColumn("cut_by_floor", F.sum(F.when(F.col("relevant"), 0).otherwise(1)).over(w))
+    rows = materialize(rows, "scored")
+    top = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("matched"), F.max("score").alias("top"))
+    relevant = (F.col("top") <= 0) | (F.col("score") >= RECALL_FLOOR * F.col("top")) | (F.size("flags") > 0)
+    cut = rows.select("query_id", "score", "flags").join(bounded(top), "query_id").groupBy("query_id", "matched", "top").agg(F.sum(F.when(relevant, 0).otherwise(1)).alias("cut_by_floor"))
+    return rows.join(bounded(materialize(cut, "floors")), "query_id").withColumn("relevant", relevant)
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -130,7 +138,7 @@ def packed(rows: DataFrame) -> DataFrame:
     best = keep.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("order"), "id"))["id"].alias("best"))
     same_cost = Window.partitionBy("query_id", "cost").orderBy(F.desc("score"), "id")
     able = keep.where(F.col("cost") <= F.col("budget")).withColumn("n", F.row_number().over(same_cost)).where(F.col("n") <= F.floor(F.col("budget") / F.col("cost")) + 1).drop("n")
-    first = keep.join(best, "query_id").where((F.col("id") == F.col("best")) & (F.col("cost") > F.col("budget"))).drop("best")
+    first = keep.join(bounded(best), "query_id").where((F.col("id") == F.col("best")) & (F.col("cost") > F.col("budget"))).drop("best")
     lists = able.unionByName(first.select(*able.columns)).groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.first("budget").cast("long").alias("budget"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("ids"))
 
@@ -138,8 +146,8 @@ def packed(rows: DataFrame) -> DataFrame:
         fits = (F.size(acc["ids"]) == 0) | (acc["used"] + x["cost"] <= F.col("budget"))
         return F.when(fits, F.struct((acc["used"] + x["cost"]).alias("used"), F.array_append(acc["ids"], x["id"]).alias("ids"))).otherwise(acc)
 
-    chosen = lists.select("query_id", F.posexplode(F.aggregate("items", start, step)["ids"]).alias("place", "id"))
-    return keep.join(chosen, ["query_id", "id"]).withColumn("place", F.col("place") + 1)
+    chosen = materialize(lists.select("query_id", F.posexplode(F.aggregate("items", start, step)["ids"]).alias("place", "id")), "chosen")
+    return keep.join(bounded(chosen), ["query_id", "id"]).withColumn("place", F.col("place") + 1)
 
 
 def cost(packs: DataFrame, anchors: DataFrame, files: DataFrame) -> DataFrame:

@@ -307,8 +307,7 @@ def _rows(v: View) -> DataFrame:
 
 
 def _floored(v: View) -> DataFrame:
-    """Written once: packing, cost and envelope read it more than once."""
-    return materialize(recall.floored(_rows(v)), "floored")
+    return recall.floored(_rows(v))
 
 
 @query(f"WITH {_SCORED.split('  floored AS')[0].rstrip().rstrip(',')} SELECT query_id, id, round(text, 6) AS text, CAST(near AS DOUBLE) AS near, round(conf, 6) AS conf, round(score, 6) AS score, flagged FROM scored")

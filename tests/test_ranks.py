@@ -51,3 +51,28 @@ def test_more_terms_than_stand_in_a_plan(spark, monkeypatch):
     monkeypatch.setattr(fts, "LISTED_TERMS", 3)
     monkeypatch.setattr(fts, "PART_ROWS", 100)
     assert ranked() == listed and len(listed) > 300
+
+
+def test_nearness_is_the_closest_tie(spark):
+    working = {"q": ["src/a.py", "lib/b.py"], "r": ["top"]}
+    q = spark.createDataFrame([(k, w) for k, w in working.items()], "query_id string, working_set array<string>")
+    imports = [("lib/c.py", "pkg.a"), ("src/a.py", "src/d.py"), ("other/e.py", "pkg.top"), ("far/g.py", "nothing")]
+    files = ["src/a.py", "src/d.py", "src/x.py", "lib/c.py", "other/e.py", "far/g.py", "top", "top/y", None]
+    held = spark.createDataFrame([(i, f"e{i}", f, None, None, None) for i, f in enumerate(files)], ANCHORS)
+    around = {(k, f) for k, w in working.items() for x in w for f, t in imports if x.split("/")[-1].split(".")[0] in t} | {(k, t) for k, w in working.items() for f, t in imports if f in w}
+    plain = lambda k, f: 1.0 if f in working[k] else 0.6 if (k, f) in around else 0.3 if f.split("/")[0] in {x.split("/")[0] for x in working[k]} else 0.0
+    got = {(r.query_id, r.file): r.near for r in recall.nearness(q, held, spark.createDataFrame(imports, IMPORTS)).collect()}
+    assert all(got.get((k, f), 0.0) == plain(k, f) for k in working for f in files if f) and {0.3, 0.6, 1.0} == set(got.values())
+
+
+def test_floor_and_packs_move_no_rows(spark):
+    """What a query has in all is added up and broadcast; its rows aren't dealt out or sorted again for it."""
+    rows = [("q" if i % 2 else "r", f"i{i:02d}", 1.0 - i / 20, ["stale:x"] if i == 19 else [], 100, 350) for i in range(20)]
+    df = spark.createDataFrame(rows, "query_id string, id string, score double, flags array<string>, cost long, budget long")
+    floor = recall.floored(df)
+    packs = recall.packed(floor)
+    assert {(r.query_id, r.matched, r.cut_by_floor) for r in floor.collect()} == {("q", 10, 2), ("r", 10, 3)}
+    assert [(r.query_id, r.place, r.id) for r in packs.orderBy("query_id", "place").collect()] == [("q", 1, "i01"), ("q", 2, "i03"), ("q", 3, "i05"), ("r", 1, "i00"), ("r", 2, "i02"), ("r", 3, "i04")]
+    for df in (floor, packs):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Exchange hashpartitioning" not in plan
