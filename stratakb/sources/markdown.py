@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import string_lists
 from ..functions.guards import bad_path, write_reject
 from ..functions.hashing import normal_path
 from ..functions.text import paths_in
@@ -50,11 +50,7 @@ def chunk_markdown(text: str | None) -> list[str]:
 
 def chunks(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n, chunk) of every document."""
-
-    def over(texts: pd.Series) -> pd.Series:
-        return pd.Series([chunk_markdown(t if isinstance(t, str) else None) for t in texts], dtype=object)
-
-    return docs.select(F.col(key), F.posexplode(F.pandas_udf(over, "array<string>")(F.col(text))).alias("n", "chunk"))
+    return docs.select(F.col(key), F.posexplode(string_lists(lambda: chunk_markdown, F.col(text))).alias("n", "chunk"))
 
 
 def seeds(docs: DataFrame, *, path: str = "path", text: str = "text", kind: str = "fact", known: DataFrame | None = None, mode: str = "auto") -> DataFrame:

@@ -37,3 +37,8 @@ def test_a_worker_gives_back_slices(spark, monkeypatch):
     stems = {r.doc_id: r.w for r in docs.select("doc_id", stemmed(docs.text).alias("w")).collect()}
     assert stems == {i: None if t is None else fold(t) for i, t in enumerate(TEXTS)}
     assert plan_type(docs.select(stemmed(docs.text))) == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
+
+
+def test_chunks_come_back_in_slices(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    assert plan_type(chunks(docs)) == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
