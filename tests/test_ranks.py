@@ -76,3 +76,12 @@ def test_floor_and_packs_move_no_rows(spark):
     for df in (floor, packs):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_tasks_grow_with_the_matches(spark, monkeypatch):
+    """One task sums at most about PART_ROWS rows, whatever the number of shuffle partitions."""
+    monkeypatch.setattr(fts, "PART_ROWS", 100)
+    monkeypatch.setattr(fts, "materialize", lambda df, label, real=fts.materialize: parts.setdefault(label, df.rdd.getNumPartitions()) and real(df, label))
+    parts = {}
+    fts.bm25(entries(spark, 5), queries(spark)).collect()
+    assert parts["ranks"] > 10
